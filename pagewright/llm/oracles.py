@@ -1,3 +1,63 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+OP5 = r"""
+with words as (
+  select doc_id, w, pos from (
+    select doc_id, unnest(x) as w, generate_subscripts(x, 1) as pos
+    from (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as x from documents)
+  )
+),
+items as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as x from benchmark
+),
+windows as (
+  select distinct item_id, array_to_string(x[k:k + 9], ' ') as phrase, least(len(x), 10) as n
+  from (select item_id, x, unnest(range(1, greatest(len(x) - 9, 1) + 1)) as k from items where len(x) > 0)
+),
+lists as (select doc_id, list(w order by pos) as x from words group by doc_id),
+spots as (
+  select doc_id, k, n, array_to_string(x[k:k + n - 1], ' ') as phrase
+  from (select doc_id, x, n, unnest(range(1, len(x) - n + 2)) as k from lists, (select distinct n from windows) where len(x) >= n)
+),
+found as (select doc_id, k, spots.n, item_id from spots join windows on spots.phrase = windows.phrase and spots.n = windows.n),
+hits as (select doc_id, count(*) as n_hit from (select distinct doc_id, unnest(range(k, k + n)) as pos from found) group by doc_id),
+named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct doc_id, item_id::varchar as item from found) group by doc_id),
+sizes as (select doc_id, count(*) as n_words from words group by doc_id)
+select d.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from documents d left join sizes using (doc_id) left join hits using (doc_id) left join named using (doc_id)
+"""
+
+OP10 = r"""
+with sizes as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents
+),
+total as (select source, sum(size)::bigint as source_size from sizes group by source),
+weighed as (
+  select *, source_size * 3.0::double as most,
+    ([5.0, 2.0, 1.0]::double[])[(row_number() over (order by source asc nulls last) - 1) % 3 + 1] as weight
+  from total
+),
+levels as (
+  select *,
+    row_number() over (order by source_size / weight, source asc nulls last) as place,
+    (sum(source_size) over () - coalesce(sum(most) over (order by source_size / weight, source asc nulls last rows between unbounded preceding and 1 preceding), 0.0))
+      / sum(weight) over (order by source_size / weight, source asc nulls last rows between current row and unbounded following) as level
+  from weighed
+),
+settled as (select level from levels where level * weight < most order by place limit 1),
+goals as (
+  select source, source_size, coalesce(least(most, (select level from settled) * weight), most)::double as target from levels
+),
+rated as (
+  select doc_id, size, source_size, target, case when source_size > 0 then target / source_size else 0.0 end as rate,
+    ('0x' || substring(md5('10:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double / 4503599627370496.0 as u
+  from sizes join goals on sizes.source is not distinct from goals.source
+)
+select doc_id, size, source_size, target, (size * (floor(rate) + case when u < rate - floor(rate) then 1 else 0 end))::bigint as taken from rated
+"""
+
+ORACLES: dict[str, str] = {
+    "op5_benchmark_decontamination": OP5,
+    "op10_source_mixing": OP10,
+}

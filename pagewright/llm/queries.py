@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import decontaminate, mixing, pii, secrets, simhash
 from ._shared import table
 
 
@@ -12,6 +12,29 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op2_pii_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
 QUERIES = {
-    "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup,
+        op2_pii_information,
+        op3_secret_scan,
+        op5_benchmark_decontamination,
+        op10_source_mixing,
+    )
 }
