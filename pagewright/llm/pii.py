@@ -27,7 +27,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -149,18 +152,23 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", reach: int = 8, su
     for terms in _blocks(pairs.select("term").distinct(), block):
         sent = spark.sparkContext.broadcast(terms)
 
-        def count(sent=sent):
-            known = sent.value
-            return lambda text: [(w.decode(), 1) for w in known.intersection(words(text))] if text else []
+        def count(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            held: Counter[bytes] = Counter()  # no more than the block's terms
+            for b in batches:
+                for text in b.column(0).to_pylist():
+                    if text:
+                        held.update(sent.value.intersection(words(text)))
+            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in held], pa.string()), pa.array(held.values(), pa.int64())], names=["term", "n"])
 
-        part = map_rows(texts, "term string, n long", count)
+        part = texts.mapInArrow(count, "term string, n long")
         counted = part if counted is None else counted.unionAll(part)
     if counted is None:
         return pairs.select("term", "entity", "joint", F.lit(0).cast("long").alias("df"), F.lit(0.0).alias("disclosure"))
     df = counted.groupBy("term").agg(F.sum("n").alias("df"))
     n = F.lit(float(total))
     share = F.when(F.col("df_entity") < n, 1 - F.log2(F.col("df") / F.col("joint")) / F.log2(n / F.col("df_entity"))).otherwise(0.0)
-    return pairs.join(df, "term").select("term", "entity", "joint", "df", share.alias("disclosure")).where(F.col("disclosure") >= threshold)
+    found = pairs.join(df, "term").select("term", "entity", "joint", "df", share.alias("disclosure")).where(F.col("disclosure") >= threshold)
+    return materialise(found, "terms")
 
 
 def term_spans(text: str, terms: frozenset[bytes], taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
