@@ -1,5 +1,18 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+OP4 = r"""
+with vectors as (
+  select distinct vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+scored as (
+  select q.vec_id as query_id, r.vec_id, list_dot_product(q.v, r.v)::bigint as score
+  from vectors q join vectors r on q.vec_id <> r.vec_id and len(q.v) = len(r.v) where q.vec_id % 50 = 0
+)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from scored qualify rank <= 5
+"""
+
 OP5 = r"""
 with words as (
   select doc_id, w, pos from (
@@ -28,6 +41,25 @@ select d.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_hit, 0)::bi
 from documents d left join sizes using (doc_id) left join hits using (doc_id) left join named using (doc_id)
 """
 
+OP9 = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+formatted as (
+  select *, '<|im_start|>' || replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), chr(10), '&#10;') || chr(10)
+    || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;') || '<|im_end|>' || chr(10) as piece
+  from turns
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+  sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by turn, role, text)) as loss_sha256,
+  sum(length(piece))::bigint as formatted_chars
+from formatted group by conv_id
+"""
+
 OP10 = r"""
 with sizes as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents
@@ -58,6 +90,8 @@ select doc_id, size, source_size, target, (size * (floor(rate) + case when u < r
 """
 
 ORACLES: dict[str, str] = {
+    "op4_exact_topk": OP4,
     "op5_benchmark_decontamination": OP5,
+    "op9_chat_formatting": OP9,
     "op10_source_mixing": OP10,
 }
