@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from . import licenses
+
 OP4 = r"""
 with vectors as (
   select distinct vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
@@ -92,6 +94,7 @@ select doc_id, size, source_size, target, (size * (floor(rate) + case when u < r
 ORACLES: dict[str, str] = {
     "op4_exact_topk": OP4,
     "op5_benchmark_decontamination": OP5,
+    "op6_license_scan": licenses.oracle(),
     "op9_chat_formatting": OP9,
     "op10_source_mixing": OP10,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, classlm, decontaminate, language, mixing, pii, secrets, simhash, topk
+from . import chat, classlm, decontaminate, language, licenses, mixing, pii, secrets, simhash, topk
 from ._shared import table
 
 
@@ -28,6 +28,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op7_class_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classlm.score(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -55,6 +59,7 @@ QUERIES = {
         op3_secret_scan,
         op4_exact_topk,
         op5_benchmark_decontamination,
+        op6_license_scan,
         op7_class_lm_scoring,
         op8_language_id,
         op9_chat_formatting,
