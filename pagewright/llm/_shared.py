@@ -42,12 +42,12 @@ def arrow_rows(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
 
-def map_rows(df: DataFrame, ddl: str, make, batch: int = 4096) -> DataFrame:
+def map_rows(df: DataFrame, ddl: str | T.StructType, make, batch: int = 4096) -> DataFrame:
     """``df`` through ``make()``, which gives a function from one row (a tuple) to rows.
 
     ``make`` runs once for each task, so that what it prepares is not sent along.
     """
-    out = T.StructType.fromDDL(ddl)
+    out = T.StructType.fromDDL(ddl) if isinstance(ddl, str) else ddl
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

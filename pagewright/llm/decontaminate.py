@@ -147,16 +147,15 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     ``ranges`` are the hit words as ordered, disjoint [start, end).
     """
-    kinds = dict(docs.dtypes)
     held = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *held)
-    kept = "".join(f", k{i} {kinds[c]}" for i, c in enumerate(keep))
-    found = "n_words long, ranges array<struct<s int, e int>>, items array<string>"
+    fields = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("text", T.StringType())]
+    fields += [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
+    out = T.StructType([*fields, *T.StructType.fromDDL("n_words long, ranges array<struct<s int, e int>>, items array<string>")])
     blocks = item_blocks(items, item_col, item_text, block)
     for number, part in enumerate(blocks):
         sent = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
         last = number + 1 == len(blocks)
-        out = T.StructType.fromDDL(f"id {kinds[id_col]}, text string{kept}, {found}")
         rows = rows.mapInArrow(_searcher(sent, size, len(keep), number > 0, last, to_arrow_schema(out)), out)
     names = [F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]
     return rows.select(F.col("id").alias(id_col), "n_words", "ranges", "items", *names)

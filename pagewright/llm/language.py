@@ -144,8 +144,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **how)
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = (), batch: int = 64) -> DataFrame:
     """The columns named in ``keep``, then lang_pred, score and ambiguous, for each row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = dict(docs.dtypes)
-    out = T.StructType.fromDDL("".join(f"k{i} {kinds[c]}, " for i, c in enumerate(keep)) + "lang_pred string, score double, ambiguous boolean")
+    kept = [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
+    out = T.StructType([*kept, *T.StructType.fromDDL("lang_pred string, score double, ambiguous boolean")])
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import spans
 from ._shared import map_rows, materialise
@@ -187,8 +188,7 @@ def term_spans(text: str, terms: frozenset[bytes], taken: list[tuple[int, int, i
 
 def _scanned(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame, block: int, with_text: bool) -> DataFrame:
     """(id, text, found array of kind, start, end) by the base kinds and the terms; without text it is null."""
-    kind = dict(docs.dtypes)[id_col]
-    ddl = f"id {kind}, text string, found array<struct<k int, s int, e int>>"
+    ddl = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("text string, found array<struct<k int, s int, e int>>")])
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     packed = lambda found: [{"k": k, "s": s, "e": e} for k, s, e in found]
     blocks = _blocks(terms.select("term").distinct(), block) or [frozenset()]
@@ -218,7 +218,7 @@ def _scanned(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame, bloc
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 200_000, **how) -> DataFrame:
     """(id, spans, text): the spans found and the text with each replaced by its kind's mark."""
     terms = disclosing_terms(docs, text_col, block=block, **how)
-    kind = dict(docs.dtypes)[id_col]
+    out = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("spans array<struct<kind string, start int, end int>>, text string")])
 
     def make():
         def each(i, text, found):
@@ -227,7 +227,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
 
         return each
 
-    return map_rows(_scanned(docs, id_col, text_col, terms, block, True), f"id {kind}, spans array<struct<kind string, start int, end int>>, text string", make, 512)
+    return map_rows(_scanned(docs, id_col, text_col, terms, block, True), out, make, 512)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 200_000, **how) -> DataFrame:

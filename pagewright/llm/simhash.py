@@ -31,8 +31,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ._shared import map_rows, materialise
 from .components import components
@@ -245,12 +248,41 @@ def trie_pairs(x: np.ndarray, max_bits: int, most: int = 1 << 20) -> Iterator[tu
             stack.append((bit, *(np.concatenate(v) for v in zip(*parts))))
 
 
+def classes(prints: DataFrame, max_bits: int, subtree_limit: int) -> DataFrame:
+    """(fp, root) for each fingerprint of ``prints``; root stands for its component."""
+    distinct = materialise(prints.select("fp").distinct(), "distinct")
+    roots = components(links(distinct, max_bits, subtree_limit), "a", "b")
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2, subtree_limit: int = 50_000) -> DataFrame:
+    """One row of each component, that of the smallest id (null is last), with the columns it had."""
+    kept = [T.StructField("doc", T.StructType([f for f in docs.schema if f.name != text_col]))]
+    out = T.StructType([*kept, *T.StructType.fromDDL("text string, row long, fp long")])
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for b in batches:
+            prints = [signed(fingerprint(text, width)) for text in b.column(1).to_pylist()]
+            columns = [*b.columns, pa.array(range(row, row + b.num_rows), pa.int64()), pa.array(prints, pa.int64())]
+            row += b.num_rows
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    rest = [c for c in docs.columns if c != text_col]
+    rows = materialise(docs.select(F.struct(*rest).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, out), "printed")
+    ids = rows.select(F.col("doc").getField(id_col).alias("id"), "row", "fp")
+    first = ids.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    firsts = first.join(classes(rows, max_bits, subtree_limit), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    chosen = rows.join(firsts.select(F.col("first.row").alias("row")), "row", "left_semi")
+    return chosen.select(*(F.col("text").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2, subtree_limit: int = 50_000) -> DataFrame:
     """(id_col, fingerprint, component_id) for each row of ``docs``."""
     prints = materialise(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), max_bits, subtree_limit), "a", "b")
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    found = materialise(least.join(classes(prints, max_bits, subtree_limit), "fp"), "classes")
+    ids = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_print = found.join(ids, "root").select("fp", "component_id")
+    return prints.join(by_print, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
