@@ -1,3 +1,5 @@
 """DuckDB SQL for the registered queries."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from .registry import ORACLES  # noqa: F401
