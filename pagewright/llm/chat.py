@@ -92,8 +92,12 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     known = state
     levels: list[DataFrame] = []
     most = state.count()
-    while True:
-        a, b = state.alias("a"), state.alias("b")
+    # those that have reached their root wait in ``done``; a round joins only the others
+    done, state = state.where("jump is null"), state.where("jump is not null")
+    while not state.isEmpty():
+        if 1 << len(levels) > 2 * most:
+            raise ValueError("the replies have a cycle")
+        a, b = state.alias("a"), done.unionAll(state).alias("b")
         state = a.join(b, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.jump") == F.col("b.node")), "left").select(
             "a.tree",
             "a.node",
@@ -105,10 +109,8 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
         state = materialise(state, "jumps")
         levels.append(state.where("via is not null").select("tree", "node", "via"))
         state = state.drop("via")
-        if state.where("jump is not null").isEmpty():
-            break
-        if 1 << len(levels) > 2 * most:
-            raise ValueError("the replies have a cycle")
+        done, state = done.unionAll(state.where("jump is null")), state.where("jump is not null")
+    state = done
     leaves = state.alias("a").join(known.where("jump is not null").alias("b"), (F.col("a.tree") == F.col("b.tree")) & (F.col("a.node") == F.col("b.jump")), "left_anti")
     best = W.partitionBy("tree").orderBy((F.col("total") / F.col("depth")).desc(), F.col("depth").desc(), F.col("node"))
     paths = leaves.withColumn("path", F.row_number().over(best)).where(F.col("path") <= top).select("tree", "path", "node")
