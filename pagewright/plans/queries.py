@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import citations, text  # noqa: F401  (register their queries)
+from . import citations, quality, text  # noqa: F401  (register their queries)
 from .registry import QUERIES  # noqa: F401
 
 FLAGSHIP = "e02_block_language"
