@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,14 +59,22 @@ def shingles(words: list[str], width: int) -> list[str]:
     return list(dict.fromkeys(" ".join(words[k : k + width]) for k in range(len(words) - width + 1)))
 
 
-def pivots(found: list[str], share: float, common: Counter) -> list[str]:
-    """Words, the rarest over all templates first, without which under ``share`` of the shingles remain."""
+# Words too common to be looked for first.
+COMMON = frozenset("the of and to in a is that for it with as was on are this under without by from not or be at you may any all can an mit free person general".split())
+
+
+def pivots(found: list[str], share: float) -> list[str]:
+    """Words without which under ``share`` of the shingles remain: the longest first, as long words are rare."""
+    words = sorted({w for s in found for w in s.split()}, key=lambda w: (w in COMMON, -len(w), w))
     chosen: list[str] = []
-    words = sorted({w for s in found for w in s.split()}, key=lambda w: (common[w], -len(w), w))
-    # rare words cover few shingles each; the one that covers most goes first among equals
-    while sum(not set(s.split()) & set(chosen) for s in found) >= share * len(found):
-        left = [s for s in found if not set(s.split()) & set(chosen)]
-        chosen.append(max(words, key=lambda w: (sum(w in s.split() for s in left) * (len(w) > 3), -common[w], w)))
+    left = found
+    for word in words:
+        if len(left) < share * len(found):
+            break
+        rest = [s for s in left if word not in s.split()]
+        if len(rest) < len(left):
+            chosen.append(word)
+            left = rest
     return chosen
 
 
@@ -110,17 +117,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     cut = {name: template_words(text) for name, text in (templates or TEMPLATES).items()}
     if short := [name for name, words in cut.items() if len(words) < width]:
         raise ValueError(f"templates of under {width} words: {short}")
-    common = Counter(w for words in cut.values() for w in set(words))
     by_length: dict[int, set[str]] = {}
     for words in cut.values():
-        by_length.setdefault(len(words), set()).update(pivots(shingles(words, width), share, common))
+        by_length.setdefault(len(words), set()).update(pivots(shingles(words, width), share))
     every = sorted(set().union(*by_length.values()))
 
     low = F.lower(F.col(text_col))
     has = F.lit(False)
     for word in every:
         has = has | F.contains(low, F.lit(word))
-    kept = docs.where(has).select(F.col(id_col).alias("id"), F.regexp_extract_all(F.translate(F.col(text_col), UPPER, LOWER), F.lit(f"({WORD})"), F.lit(1)).alias("words"))
+    # as a part of a word first, which is quick, and then as a word
+    whole = low.rlike(rf"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:{'|'.join(every)})(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])")
+    kept = docs.where(has & whole).select(F.col(id_col).alias("id"), F.regexp_extract_all(F.translate(F.col(text_col), UPPER, LOWER), F.lit(f"({WORD})"), F.lit(1)).alias("words"))
     parts = [_windows(known, m) for m, known in sorted(by_length.items())]
     spots = kept.select("id", "words", F.explode(F.concat(*parts)).alias("w"))
     windows = spots.select("id", "w.m", "w.start", F.slice("words", F.col("w.start") + 1, F.col("w.n")).alias("part")).where(F.size("part") >= width)
