@@ -8,8 +8,9 @@ words lies whole in one. A window's shingles of ``width`` words are hashed into
 match stands if the window holds at least ``share`` of the template's shingles.
 
 Band settings: a window that holds a share of at least 0.8 has a Jaccard similarity of
-at least about 0.45 with the template, so with 32 bands of one row a match is missed
-with a probability of about 0.55 ** 32, under 1e-8 (``miss_probability``).
+at least 1/3 with the template (the least is that of a template of three words, for the
+longer ones it is about 0.45), so with 48 bands of one row a match is missed with a
+probability of at most (2/3) ** 48, under 1e-8 (``miss_probability``).
 
 Before that, windows and texts without any pivot word are left out, which loses
 nothing: a template's pivots are words without which less than ``share`` of its
@@ -107,7 +108,7 @@ def _shingled(words: Column, width: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: F.array_join(F.slice(words, i + 1, width), " ")))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, width: int = 3, share: float = 0.8, bands: int = 32, rows: int = 1) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, width: int = 3, share: float = 0.8, bands: int = 48, rows: int = 1) -> DataFrame:
     """(id, license, containment, first_word, n_windows) for each document and license found.
 
     ``containment`` is the best window's, ``first_word`` the first such window's first word

@@ -16,7 +16,8 @@ its queries read to the same depth. Nothing is broadcast or collected.
 Defined cases: vectors that are null, empty of an id or hold null or non-finite
 components take no part; equal rows count once; a query meets only vectors of its own
 length; rows with a query's id are not its candidates; ties go to the smaller id; an
-empty table gives an empty result; other columns are not read.
+empty table gives an empty result; other columns are not read; a score that a long can't hold
+is an error.
 """
 
 from __future__ import annotations
