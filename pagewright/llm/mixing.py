@@ -10,8 +10,8 @@ floor(rate) times and once more if a uniform number hashed from its id and the s
 is below the fraction, so that reruns agree wherever a row is computed.
 
 Scale: the words are counted in the scan, sums by source are combined before the
-shuffle, and each document meets its source's row in an equi-join that Spark
-broadcasts if the table of sources is small, or else splits where it is skewed.
+shuffle, and each document meets its source's row in an equi-join: by broadcast, if the
+sources have been counted and are few, or else by source, split where it is skewed.
 
 Defined cases: a null text has size 0; null is a source like any other, the last; a
 source without words has target 0 and rate 0; repeated rows each give a row, and all
@@ -68,21 +68,31 @@ def copies(id_col: Column, seed: int) -> Column:
     return (F.floor(rate) + F.when(uniform(id_col, seed) < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 10, **how) -> DataFrame:
+def _met(rows: DataFrame, source: Column, goal: DataFrame, broadcast_rows: int) -> DataFrame:
+    """``rows`` with their source's ``goal``, a written table whose rows have been counted.
+
+    Up to ``broadcast_rows`` sources are sent to every task, so that texts stay where they
+    are; more of them are joined by source, where Spark splits a source of very many rows.
+    """
+    if goal.count() <= broadcast_rows:
+        goal = F.broadcast(goal)
+    return rows.join(goal, source.eqNullSafe(F.col("__goal.source")))
+
+
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 10, broadcast_rows: int = 50_000, **how) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for each document; taken is in words."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
     rows = materialise(rows, "sizes")  # counted once, for the sums and for the rows
-    goal = targets(rows, **how).withColumnRenamed("source", "goal_of")
-    both = rows.join(goal, rows["source"].eqNullSafe(goal["goal_of"]))
+    goal = materialise(targets(rows, **how).select(F.struct("source", "source_size", "target").alias("__goal")), "targets")
+    both = _met(rows, F.col("source"), goal, broadcast_rows).select("doc_id", "size", F.col("__goal.source_size").alias("source_size"), F.col("__goal.target").alias("target"))
     return both.select("doc_id", "size", "source_size", "target", (F.col("size") * copies(F.col("doc_id"), seed)).alias("taken"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 10, **how) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 10, broadcast_rows: int = 50_000, **how) -> DataFrame:
     """The documents, each as often as it is taken, with the columns they had."""
     sizes = docs.select(F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
-    goal = targets(sizes, **how).select(F.struct("source", "source_size", "target").alias("__goal"))
+    goal = materialise(targets(sizes, **how).select(F.struct("source", "source_size", "target").alias("__goal")), "targets")
     rows = docs.select(F.struct("*").alias("__doc"))
-    both = rows.join(goal, F.col(f"__doc.`{source_col}`").eqNullSafe(F.col("__goal.source")))
-    both = both.select("__doc", F.col("__goal.source_size").alias("source_size"), F.col("__goal.target").alias("target"))
+    both = _met(rows, F.col(f"__doc.`{source_col}`"), goal, broadcast_rows).select("__doc", F.col("__goal.source_size").alias("source_size"), F.col("__goal.target").alias("target"))
     times = copies(F.col(f"__doc.`{id_col}`"), seed).cast("int")
     return both.select("__doc", times.alias("__times")).where("__times > 0").select("__doc", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("__doc.*")

@@ -40,9 +40,10 @@ def test_mix_comes_near_its_targets(spark):
     for r in plan.join(docs.select("doc_id", "source"), "doc_id").groupBy("source", "target").agg(F.sum("taken").alias("taken")).collect():
         assert abs(r.taken - r.target) < 0.08 * r.target
     assert plan.where("taken > 3 * size or (size > 0 and taken % size <> 0)").isEmpty()
-    again = mixing.plan(docs.repartition(7, "text"))
+    again = mixing.plan(docs.repartition(7, "text"), broadcast_rows=0)
     assert sorted(map(tuple, plan.collect())) == sorted(map(tuple, again.collect()))
     made = mixing.mix(docs)
+    assert sorted(made.collect()) == sorted(mixing.mix(docs, broadcast_rows=0).collect())
     assert made.columns == docs.columns
     taken = {r.doc_id: r.n for r in made.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert all(taken.get(r.doc_id, 0) * r.size == r.taken for r in plan.collect())
