@@ -73,9 +73,9 @@ def minimal_edit(old: Column, new: Column) -> Column:
     n = F.least(F.length(old), F.length(new))
     at = lambda t, i: F.substring(t, i, F.lit(1))
     # the first place that differs
-    head = F.coalesce(F.element_at(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: at(old, i) != at(new, i)), 1) - 1, n)
+    head = F.coalesce(F.try_element_at(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: at(old, i) != at(new, i)), F.lit(1)) - 1, n)
     rest = n - head
-    tail = F.coalesce(F.element_at(F.filter(F.sequence(F.lit(1), F.greatest(rest, F.lit(1))), lambda i: at(old, F.length(old) - i + 1) != at(new, F.length(new) - i + 1)), 1) - 1, rest)
+    tail = F.coalesce(F.try_element_at(F.filter(F.sequence(F.lit(1), F.greatest(rest, F.lit(1))), lambda i: at(old, F.length(old) - i + 1) != at(new, F.length(new) - i + 1)), F.lit(1)) - 1, rest)
     tail = F.greatest(F.least(tail, rest), F.lit(0))
     kept_head = F.length(F.regexp_extract(F.substring(old, F.lit(1), head), r"^((?s:.*)\s)?", 1))
     kept_tail = F.length(F.regexp_extract(F.substring(old, F.length(old) - tail + 1, tail), r"^\S*(\s(?s:.*))?$", 1))

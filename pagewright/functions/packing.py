@@ -35,7 +35,7 @@ def char_parts(sentences: Column, limit: int = 600) -> Column:
     """Sentences joined into texts of at most ``limit`` characters; a longer one stands alone."""
 
     def step(acc, s):
-        last = F.element_at(acc, -1)
+        last = F.try_element_at(acc, F.lit(-1))
         fits = (F.size(acc) > 0) & (F.length(last) + 1 + F.length(s) <= limit)
         return F.when(fits, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat_ws(" ", last, s)))).otherwise(F.concat(acc, F.array(s)))
 
@@ -74,9 +74,9 @@ def summary_parts(found: Column, size: int = 3000) -> Column:
     """array<int>: the first word of each part; a part ends after a sentence in its last fifth if there is one."""
 
     def step(acc, _):
-        start = F.element_at(acc, -1)
+        start = F.try_element_at(acc, F.lit(-1))
         end = start + size
-        stop = F.element_at(F.filter(F.sequence(end, F.floor(start + size * 0.8).cast("int") + 1, F.lit(-1)), lambda k: F.get(found, k - 1).rlike(r"[.!?]$")), 1)
+        stop = F.try_element_at(F.filter(F.sequence(end, F.floor(start + size * 0.8).cast("int") + 1, F.lit(-1)), lambda k: F.get(found, k - 1).rlike(r"[.!?]$")), F.lit(1))
         return F.when(end >= F.size(found), acc).otherwise(F.concat(acc, F.array(F.coalesce(stop, end).cast("int"))))
 
     # each part has at least four fifths of its size, which bounds the number of steps

@@ -69,8 +69,8 @@ LINK = r"(?i)(?:https?://|www\.)\S*[^\s.,;:)\]]"
 ACCOUNT = r"(?<![\p{L}\p{N}_])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){10,30}(?![\p{L}\p{N}_])"
 YEARS = r"[0-9]{4}\s*[-/]\s*[0-9]{2,4}"
 NUMBER = r"(?<![\p{L}\p{N}_.])(?!" + YEARS + r"(?![0-9 ./-]*[0-9]))\+?[0-9][0-9 ./-]{6,}[0-9](?![\p{L}\p{N}_.])"
-KEY_SHAPES = (r"sk-ant-[A-Za-z0-9_\-]{8,}", r"AIza[A-Za-z0-9_\-]{20,}", r"sk-[A-Za-z0-9_\-]{16,}")
-KEY_HEADERS = r"(?i)(authorization|x-api-key|x-goog-api-key)(['\"]?\s*[:=]\s*['\"]?)(?:bearer\s+)?[A-Za-z0-9_\-.]{8,}"
+KEY_SHAPES = (r"sk-ant-[A-Za-z0-9_\-]{8,}", r"AIza[0-9A-Za-z_\-]{20,}", r"mstrl_[A-Za-z0-9_\-]{8,}")
+KEY_HEADERS = r"(?i)(?:x-api-key|x-goog-api-key|authorization)[\"']?\s*[:=]\s*[\"']?[^\s\"',}]+"
 
 
 def mask(text: Column) -> Column:

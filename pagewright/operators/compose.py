@@ -26,7 +26,7 @@ def runs(text: Column, styles: Column) -> Column:
         return F.struct(F.substring(text, p["a"] + 1, p["b"] - p["a"]).alias("text"), *(on[f].alias(f) for f in FLAGS))
 
     def join(acc, r):
-        last = F.element_at(acc, -1)
+        last = F.try_element_at(acc, F.lit(-1))
         same = F.size(acc) > 0
         for f in FLAGS:
             same = same & (last[f] == r[f])

@@ -66,7 +66,8 @@ def _info(spark, sf_dir):
     return pages.select("doc_id", "page", F.expr("(doc_id + page) % 3 <> 0").alias("ocr"), F.expr("(doc_id + page) % 7 = 0").alias("unusual"), F.expr("page div 2").alias("source_page"))
 
 
-_SHOWN = F.array_join(F.transform("reasons", lambda r: F.concat_ws(":", r["code"], r["number"].cast("int").cast("string"))), " ").alias("reasons")
+def _shown():
+    return F.array_join(F.transform("reasons", lambda r: F.concat_ws(":", r["code"], r["number"].cast("int").cast("string"))), " ").alias("reasons")
 
 
 @query(f"with {BLOCKS}, {_WORDS} select doc_id, seq, n, reason from unsure")
@@ -83,13 +84,13 @@ _RATED = f"rated as (select doc_id, page, source_page, {_PL} as level, {_PR} as
 @query(f"with {BLOCKS}, {_STATS}, {_RATED} select doc_id, page, level, reasons from rated")
 def e06_page_ratings(spark, sf_dir):
     """Ratings of pages with their reasons."""
-    return Q.rate_pages(_stats(spark, sf_dir), _info(spark, sf_dir)).select("doc_id", "page", "level", _SHOWN)
+    return Q.rate_pages(_stats(spark, sf_dir), _info(spark, sf_dir)).select("doc_id", "page", "level", _shown())
 
 
 @query(f"with {BLOCKS}, {_STATS}, {_RATED} select doc_id, source_page, min(level) as level, arg_min(reasons, level * 1000000 + page) as reasons from rated group by all")
 def e08_source_page_ratings(spark, sf_dir):
     """The lowest rating of each original page."""
-    return Q.by_source_page(Q.rate_pages(_stats(spark, sf_dir), _info(spark, sf_dir))).select("doc_id", "source_page", "level", _SHOWN)
+    return Q.by_source_page(Q.rate_pages(_stats(spark, sf_dir), _info(spark, sf_dir))).select("doc_id", "source_page", "level", _shown())
 
 
 _DL, _DR = _level("ow", "us", "ocr * 2 >= greatest(1, pages)", "(fo / greatest(1, n)::double)", "(case when br > 0 then sp / br::double else 0.0 end)", "odd * 2 > greatest(1, pages)")
@@ -103,7 +104,7 @@ select doc_id, case when weak > 0 and weak * 10 >= rated and l > 3 then 3 else l
 )
 def e07_document_ratings(spark, sf_dir):
     """Ratings of documents."""
-    return Q.rate_documents(_stats(spark, sf_dir), _info(spark, sf_dir)).select("doc_id", "level", _SHOWN)
+    return Q.rate_documents(_stats(spark, sf_dir), _info(spark, sf_dir)).select("doc_id", "level", _shown())
 
 
 @query("""with p as (select l_orderkey as doc, case l_linenumber % 3 when 0 then 'mixed' when 1 then 'text' else 'scanned' end as kind from lineitem where l_linenumber < 4)

@@ -63,17 +63,17 @@ def i07_masked(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.length(masked).alias("n_chars"), F.md5(masked).alias("masked"))
 
 
-@query(r"""select event_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, 'sk-ant-[A-Za-z0-9_\-]{8,}', '[API key hidden]', 'g'), 'AIza[A-Za-z0-9_\-]{20,}', '[API key hidden]', 'g'),
-  'sk-[A-Za-z0-9_\-]{16,}', '[API key hidden]', 'g'), '(?i)(authorization|x-api-key|x-goog-api-key)([''"]?\s*[:=]\s*[''"]?)(?:bearer\s+)?[A-Za-z0-9_\-.]{8,}', '[API key hidden]', 'g') as shown
-from (select event_id, case event_id % 4 when 0 then 'sk-ant-' || md5(event_id::varchar) when 1 then 'x-api-key: ' || md5(event_id::varchar) when 2 then 'use sk-' || md5(event_id::varchar) || ' now' else 'no key ' || event_id::varchar end as t from events)""")
+@query(r"""select event_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, 'sk-ant-[A-Za-z0-9_\-]{8,}', '[API key hidden]', 'g'), 'AIza[0-9A-Za-z_\-]{20,}', '[API key hidden]', 'g'),
+  'mstrl_[A-Za-z0-9_\-]{8,}', '[API key hidden]', 'g'), '(?i)(?:x-api-key|x-goog-api-key|authorization)["'']?\s*[:=]\s*["'']?[^\s"'',}]+', '[API key hidden]', 'g') as shown
+from (select event_id, case event_id % 4 when 0 then 'sk-ant-' || md5(event_id::varchar) when 1 then 'x-api-key: ' || md5(event_id::varchar) || ', more' when 2 then 'use mstrl_' || md5(event_id::varchar) || ' now' else 'no key ' || event_id::varchar end as t from events)""")
 def i08_redacted(spark, sf_dir):
     """Texts with keys hidden (keys made from event ids)."""
     i = F.col("event_id")
     digest = F.md5(i.cast("string"))
     made = (
         F.when(i % 4 == 0, F.concat(F.lit("sk-ant-"), digest))
-        .when(i % 4 == 1, F.concat(F.lit("x-api-key: "), digest))
-        .when(i % 4 == 2, F.concat(F.lit("use sk-"), digest, F.lit(" now")))
+        .when(i % 4 == 1, F.concat(F.lit("x-api-key: "), digest, F.lit(", more")))
+        .when(i % 4 == 2, F.concat(F.lit("use mstrl_"), digest, F.lit(" now")))
         .otherwise(F.concat(F.lit("no key "), i.cast("string")))
     )
     return table(spark, sf_dir, "events").select("event_id", X.redact(made).alias("shown"))

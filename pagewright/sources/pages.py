@@ -12,13 +12,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import html as H
 
-BLOCKS = T.StructType.fromDDL(
-    "page_id long, seq int, kind string, level int, text string, styles array<struct<start int, end int, style string>>, cells array<array<string>>"
-)
-ARTICLES = T.StructType.fromDDL("page_id long, title string, lang string, html string")
+BLOCKS = "page_id long, seq int, kind string, level int, text string, styles array<struct<start int, end int, style string>>, cells array<array<string>>"
+ARTICLES = "page_id long, title string, lang string, html string"
 
 
-def _mapped(rows: DataFrame, out: T.StructType, each) -> DataFrame:
+def _mapped(rows: DataFrame, schema: str, each) -> DataFrame:
+    out = T.StructType.fromDDL(schema)
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
