@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .spans import keep_first, matches
+from .spans import keep_first, let, matches
 from .text import tidy
 
 # The parts of a citation.
@@ -60,7 +60,9 @@ def find(text: Column, n_references: Column, raised: Column | None = None) -> Co
     as_text = lambda n: F.transform(n, lambda v: v.cast("string"))
 
     def numeric(x):
-        n = numbers(inside(x))
+        return let(numbers(inside(x)), lambda n: rated(x, n))
+
+    def rated(x, n):
         sure = F.when(F.array_min(n) < 1, 0.3).when((n_references > 0) & (F.array_max(n) <= n_references), 0.97).when(n_references > 0, 0.4).otherwise(0.7)
         return _citation(x, "numeric", as_text(n), sure)
 
@@ -70,7 +72,9 @@ def find(text: Column, n_references: Column, raised: Column | None = None) -> Co
         marked = F.filter(marked, lambda r: F.trim(r["text"]).rlike(RAISED))
 
         def high(x):
-            n = numbers(F.trim(x["text"]))
+            return let(numbers(F.trim(x["text"])), lambda n: raised_one(x, n))
+
+        def raised_one(x, n):
             return _citation(x, "superscript", as_text(n), F.when((n_references > 0) & (F.array_max(n) <= n_references), 0.9).otherwise(0.6))
 
         found = F.concat(found, F.transform(marked, high))

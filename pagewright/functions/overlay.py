@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .spans import overlaps
+from .spans import let, overlaps
 
 BY_HAND = ("user", "check")
 
@@ -20,9 +20,12 @@ def applied(c) -> Column:
 
 def effective(corrections: Column) -> Column:
     """The applied corrections, without those that overlap one made by hand."""
-    live = F.filter(corrections, applied)
-    hand = F.filter(live, lambda c: c["source"].isin(*BY_HAND))
-    return F.filter(live, lambda c: c["source"].isin(*BY_HAND) | ~F.exists(hand, lambda u: overlaps(c, u)))
+
+    def kept(live):
+        hand = F.filter(live, lambda c: c["source"].isin(*BY_HAND))
+        return F.filter(live, lambda c: c["source"].isin(*BY_HAND) | ~F.exists(hand, lambda u: overlaps(c, u)))
+
+    return let(F.filter(corrections, applied), kept)
 
 
 def _numbered(corrections: Column, sign: int) -> Column:

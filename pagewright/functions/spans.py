@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 SPANS = "array<struct<start:int,end:int,text:string>>"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, text>> of all matches of a pattern that never matches nothing.
 
     The pieces between the matches give the offsets: each match begins where the
-    lengths of the pieces and matches before it add up to.
+    lengths of the pieces and matches before it add up.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.greatest(F.size(found), F.lit(0))), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
     none = F.expr(f"cast(array() as {SPANS})")
 
     def step(acc, x):
@@ -24,7 +26,12 @@ def matches(text: Column, pattern: str) -> Column:
         end = (start + F.length(x["m"])).cast("int")
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text")))).alias("out"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    def placed(found):
+        gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+        pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+        return F.when(F.size(found) == 0, none).otherwise(F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"]))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def overlaps(a, b) -> Column:
@@ -38,4 +45,4 @@ def keep_first(spans: Column) -> Column:
     def step(acc, x):
         return F.when(F.exists(acc, lambda y: overlaps(x, y)), acc).otherwise(F.concat(acc, F.array(x)))
 
-    return F.aggregate(spans, F.slice(spans, 1, 0), step)
+    return let(spans, lambda all_: F.aggregate(all_, F.slice(all_, 1, 0), step))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import let
+
 # Parts of words, pairs of spellings, what recognition confuses, short words.
 PREFIXES = "non de un re pre anti counter over under post sub super inter multi semi co mis proto pseudo quasi neo hyper micro macro".split()
 SUFFIXES = "s es ed ing er ers ly ness ism isms ist ists ity ities al ally ation ations ize izes ized izer izers ise ised able ment ments".split()
@@ -37,17 +39,18 @@ def plain(word: Column) -> Column:
 def forms(word: Column) -> Column:
     """What must be in the lexicon for a word to be known: itself, its possessor, or the word it is derived from."""
     w, n = plain(word), F.length(word)
-    cut = lambda k: F.substring(w, F.lit(1), n - k)
-    own = [F.struct(F.lit(True).alias("ok"), w.alias("form")), F.struct(F.endswith(w, F.lit("'s")).alias("ok"), cut(2).alias("form")), F.struct((F.endswith(w, F.lit("s'"))).alias("ok"), cut(1).alias("form"))]
-    long = n >= 6
-    for p in PREFIXES:
-        own.append(F.struct((long & F.startswith(w, F.lit(p)) & (n - len(p) >= 4)).alias("ok"), F.substring(w, len(p) + 1, 1 << 20).alias("form")))
-    for s in SUFFIXES:
-        fits = long & F.endswith(w, F.lit(s)) & (n - len(s) >= 4)
-        stem = cut(len(s))
-        own += [F.struct(fits.alias("ok"), stem.alias("form")), F.struct(fits.alias("ok"), F.concat(stem, F.lit("e")).alias("form"))]
-        own.append(F.struct((fits & F.endswith(stem, F.lit("i"))).alias("ok"), F.concat(cut(len(s) + 1), F.lit("y")).alias("form")))
-    return F.array_distinct(F.transform(F.filter(F.array(*own), lambda x: x["ok"]), lambda x: x["form"]))
+    cut = lambda c, k: F.substring(c, F.lit(1), F.length(c) - k)
+    listed = lambda parts: F.array(*map(F.lit, parts))
+    rest = lambda p: (n >= 6) & (n - F.length(p) >= 4)
+    owner = F.when(F.endswith(w, F.lit("'s")), F.array(cut(w, 2))).when(F.endswith(w, F.lit("s'")), F.array(cut(w, 1))).otherwise(F.expr("cast(array() as array<string>)"))
+    heads = F.transform(F.filter(listed(PREFIXES), lambda p: rest(p) & F.startswith(w, p)), lambda p: F.substring(w, F.length(p) + 1, n))
+
+    def derived(stems):
+        y = F.transform(F.filter(stems, lambda s: F.endswith(s, F.lit("i"))), lambda s: F.concat(cut(s, 1), F.lit("y")))
+        return F.concat(stems, F.transform(stems, lambda s: F.concat(s, F.lit("e"))), y)
+
+    stems = F.transform(F.filter(listed(SUFFIXES), lambda s: rest(s) & F.endswith(w, s)), lambda s: F.substring(w, F.lit(1), n - F.length(s)))
+    return F.array_distinct(F.concat(F.array(w), owner, heads, let(stems, derived)))
 
 
 def known(words: DataFrame, lexicon: DataFrame, column: str = "word") -> DataFrame:
@@ -62,7 +65,7 @@ def replaced_once(word: Column, pairs: list[tuple[str, str]]) -> Column:
     for x, y in pairs:
         n = F.length(word) - len(x) + 1
         at = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), _stands(word, x))
-        out.append(F.transform(at, _put(word, x, y)))
+        out.append(F.when(F.contains(word, F.lit(x)), F.transform(at, _put(word, x, y))).otherwise(F.expr("cast(array() as array<string>)")))
     return F.array_distinct(F.flatten(F.array(*out)))
 
 

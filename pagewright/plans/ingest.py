@@ -26,7 +26,7 @@ def a24_page_blocks(spark, sf_dir):
 
 @query(r"""with a as (select page_id, html, regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1) as body, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) as h1 from pages)
 select page_id, trim(regexp_replace(replace(h1, '&amp;', '&'), '\s+', ' ', 'g')) as title, lower(regexp_extract(html, '<html[^>]*\slang="([a-zA-Z]+)"', 1)) as lang,
-  length(trim(regexp_replace(replace(regexp_replace(body, '<[^>]*>', '', 'g'), '&amp;', '&'), '\s+', ' ', 'g'))) as n_chars from a where length(trim(regexp_replace(replace(regexp_replace(body, '<[^>]*>', '', 'g'), '&amp;', '&'), '\s+', ' ', 'g'))) >= 200""")
+  length(trim(regexp_replace(replace(replace(regexp_replace(body, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) as n_chars from a where length(trim(regexp_replace(replace(replace(regexp_replace(body, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) >= 200""")
 def a29_articles(spark, sf_dir):
     """Articles of pages, with their titles (A30)."""
     found = P.articles(table(spark, sf_dir, "pages"))
