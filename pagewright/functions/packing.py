@@ -82,3 +82,16 @@ def summary_parts(found: Column, size: int = 3000) -> Column:
     # each part has at least four fifths of its size, which bounds the number of steps
     steps = F.sequence(F.lit(1), F.ceil(F.size(found) / (size * 0.8)).cast("int") + 1)
     return F.aggregate(steps, F.array(F.lit(0)), step)
+
+
+def lines(widths: Column, limit: int, space: int = 1) -> Column:
+    """array<int>: the line of each word, as many to a line as fit."""
+
+    def step(acc, w):
+        full = (F.size(acc["out"]) > 0) & (acc["used"] + space + w > limit)
+        line = F.when(full, acc["line"] + 1).otherwise(acc["line"]).cast("int")
+        used = F.when(full | (F.size(acc["out"]) == 0), w).otherwise(acc["used"] + space + w).cast("int")
+        return F.struct(used.alias("used"), line.alias("line"), F.concat(acc["out"], F.array(line)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("line"), F.expr("cast(array() as array<int>)").alias("out"))
+    return F.aggregate(widths, start, step, lambda acc: acc["out"])

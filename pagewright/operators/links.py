@@ -89,3 +89,44 @@ def map_equal_blocks(old: DataFrame, new: DataFrame, doc: str = "doc_id") -> Dat
     a = old.where("text <> ''").select(doc, "text", nth.alias("k"), F.col("block_id").alias("old_id"))
     b = new.where("text <> ''").select(doc, "text", nth.alias("k"), F.col("block_id").alias("new_id"))
     return a.join(b, [doc, "text", "k"]).select(doc, "old_id", "new_id")
+
+
+def covers_more(inner: str, outer: str, share: float) -> Column:
+    """Whether box ``outer`` covers more than ``share`` of box ``inner`` (aliases with x0, y0, x1, y1)."""
+    c = lambda side, k: F.col(f"{side}.{k}")
+    wide = F.least(c(inner, "x1"), c(outer, "x1")) - F.greatest(c(inner, "x0"), c(outer, "x0"))
+    high = F.least(c(inner, "y1"), c(outer, "y1")) - F.greatest(c(inner, "y0"), c(outer, "y0"))
+    own = (c(inner, "x1") - c(inner, "x0")) * (c(inner, "y1") - c(inner, "y0"))
+    return (wide > 0) & (high > 0) & (own > 0) & (wide * high > own * share)
+
+
+def popups(markers: DataFrame, references: DataFrame) -> DataFrame:
+    """(doc_id, id, entries): the references that a bracketed marker (doc_id, id, spec) names, ranges under 30 spelled out."""
+    asked = markers.select("doc_id", "id", F.posexplode(C.numbers(F.col("spec"), 30)).alias("k", "number"))
+    hits = asked.join(references.select("doc_id", "number", "text"), ["doc_id", "number"])
+    entry = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), F.col("text"))
+    listed = hits.groupBy("doc_id", "id").agg(F.array_sort(F.collect_list(F.struct("k", entry.alias("e")))).alias("x"))
+    return listed.select("doc_id", "id", F.transform("x", lambda v: v["e"]).alias("entries"))
+
+
+def confidence_at(places: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """``places`` (keys, at) with the confidence of the first range (keys, start, end, confidence) that holds them, or null."""
+    held = ranges.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor((F.greatest(F.col("end") - 1, F.col("start"))) / BUCKET))))
+    asked = places.withColumn("__bucket", F.floor(F.col("at") / BUCKET))
+    hits = asked.join(held, [*keys, "__bucket"]).where("start <= at and at < end").groupBy(*keys, "at").agg(F.min_by("confidence", F.struct("start", "confidence")).alias("confidence"))
+    return places.join(hits, [*keys, "at"], "left")
+
+
+def best_two(candidates: DataFrame) -> DataFrame:
+    """(id, word, confidence): the candidate (id, word, score, distance, confidence) of least score, less sure if another is near."""
+    order = W.partitionBy("id").orderBy("score", "distance", "word")
+    rows = candidates.select("*", F.row_number().over(order).alias("rank"), F.lead("score").over(order).alias("next")).where("rank = 1")
+    margin = F.col("next") - F.col("score")
+    less = F.when(margin < 0.15, 0.3).when(margin < 0.5, 0.1).otherwise(0.0)
+    return rows.select("id", "word", F.greatest(F.lit(0.05), F.col("confidence") - less).alias("confidence"))
+
+
+def same_symbols(a: Column, b: Column) -> Column:
+    """Whether two texts have the same signs the same number of times, white space aside."""
+    signs = lambda t: F.array_sort(F.split(F.regexp_replace(t, r"\s", ""), ""))
+    return signs(a) == signs(b)

@@ -230,3 +230,38 @@ def title_block(blocks: DataFrame) -> DataFrame:
     first = blocks.where(F.col("kind").isin("heading", "paragraph")).join(blocks.groupBy("doc_id").agg(F.min("page").alias("page0")), "doc_id").where("page <= page0 + 1")
     best = first.groupBy("doc_id").agg(F.max_by(F.struct("seq", "text", "size", "y0", "height", "body"), F.struct("size", -F.col("seq"))).alias("b"))
     return best.where("b.size >= b.body * 1.25 and b.y0 <= 0.5 * b.height").select("doc_id", "b.seq", "b.text")
+
+
+def mastheads(lines: DataFrame) -> DataFrame:
+    """Lines of a publisher's masthead in a page's first quarter, and all between its first and last one."""
+    page = W.partitionBy("doc_id", "page")
+    t = F.trim("text")
+    top = lines.where(F.col("y1") < F.col("height") * 0.25)
+    journal = (F.col("y1") < F.col("height") * 0.12) & t.rlike(r"^[A-Z][\p{L}\p{N}_&.,:'’ -]{2,80}\s[0-9]{1,4}\s\((?:19|20)[0-9]{2}\)\s[A-Za-z]?[0-9]+(?:\s?[–-]\s?[0-9]+)?$")
+    begins, ends = F.lower(t).startswith("contents lists available"), F.lower(t).startswith("journal homepage")
+    rows = top.withColumn("from", F.min_by(F.when(begins, F.col("y0")), F.when(begins, F.col("seq"))).over(page)).withColumn("to", F.min_by(F.when(ends, F.col("y1")), F.when(ends, F.col("seq"))).over(page))
+    between = (F.col("y0") >= F.col("from")) & (F.col("y1") <= F.col("to"))
+    return rows.where(t.rlike(X.LINE_CLASSES["masthead"]) | journal | F.coalesce(between, F.lit(False))).select("doc_id", "page", "seq", "text")
+
+
+def lines_outside(lines: DataFrame, regions: DataFrame, share: float = 0.6) -> DataFrame:
+    """Lines (doc_id, page, box) of which no region of their page covers more than ``share``."""
+    from .links import covers_more
+
+    return lines.alias("a").join(regions.alias("b"), (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page") == F.col("b.page")) & covers_more("a", "b", share), "left_anti")
+
+
+def marked_words(words: DataFrame, marks: DataFrame) -> DataFrame:
+    """(doc_id, page, first, last, reason): words (n, box) under a mark (id, box, reason), neighbours of one reason together."""
+    a, b = words.alias("a"), marks.alias("b")
+    level = F.least("a.y1", "b.y1") - F.greatest("a.y0", "b.y0") > F.greatest(F.lit(0.1), F.col("a.y1") - F.col("a.y0")) * 0.3
+    meet = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page") == F.col("b.page")) & (F.least("a.x1", "b.x1") - F.greatest("a.x0", "b.x0") > 1.0) & level
+    hit = a.join(b, meet).groupBy("a.doc_id", "a.page", "a.n").agg(F.min_by("b.reason", "b.id").alias("reason"))
+    island = F.col("n") - F.row_number().over(W.partitionBy("doc_id", "page", "reason").orderBy("n"))
+    return hit.withColumn("island", island).groupBy("doc_id", "page", "reason", "island").agg(F.min("n").alias("first"), F.max("n").alias("last")).drop("island")
+
+
+def split_heading_level(text, common):
+    """The level of a heading split off a paragraph: by its number, three at most, else the document's most common."""
+    number = F.regexp_extract(F.concat(text, F.lit(" ")), r"^([0-9]+(?:\.[0-9]+)*)\.?\s", 1)
+    return F.when(number != "", F.least(F.lit(3), F.size(F.split(number, r"\.")))).otherwise(F.coalesce(common, F.lit(1)))
