@@ -142,8 +142,8 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block: int) -> lis
     return [rows.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else rows for k in range(n)]
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 10, block: int = 1_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, n_words, ranges, items as strings, and the columns named in ``keep``) for each document.
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 10, block: int = 1_000_000, keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+    """(id, n_words, ranges, items as strings, the columns named in ``keep``, and the text if asked for) for each document.
 
     ``ranges`` are the hit words as ordered, disjoint [start, end).
     """
@@ -155,13 +155,13 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     blocks = item_blocks(items, item_col, item_text, block)
     for number, part in enumerate(blocks):
         sent = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
-        last = number + 1 == len(blocks)
+        last = number + 1 == len(blocks) and not with_text
         rows = rows.mapInArrow(_searcher(sent, size, len(keep), number > 0, last, to_arrow_schema(out)), out)
     names = [F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]
-    return rows.select(F.col("id").alias(id_col), "n_words", "ranges", "items", *names)
+    return rows.select(F.col("id").alias(id_col), "n_words", "ranges", "items", *names, *([F.col("text")] if with_text else []))
 
 
-def _searcher(sent, size: int, n_kept: int, more: bool, last: bool, arrow: pa.Schema):
+def _searcher(sent, size: int, n_kept: int, more: bool, drop_text: bool, arrow: pa.Schema):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(sent.value, size)
 
@@ -171,7 +171,7 @@ def _searcher(sent, size: int, n_kept: int, more: bool, last: bool, arrow: pa.Sc
             for (r, i), (had, held) in zip(search(windows, texts), before):
                 ranges.append([{"s": s, "e": e} for s, e in merged([*((x["s"], x["e"]) for x in had), *r])])
                 items.append(sorted({*held, *map(str, i)}))
-            text = pa.nulls(rows.num_rows, pa.string()) if last else rows.column(1)
+            text = pa.nulls(rows.num_rows, pa.string()) if drop_text else rows.column(1)
             counts = pa.array([len(t) for t in texts], pa.int64())
             columns = [rows.column(0), text, *(rows.column(2 + k) for k in range(n_kept)), counts, pa.array(ranges, arrow.field("ranges").type), pa.array(items, arrow.field("items").type)]
             return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)

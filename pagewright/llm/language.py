@@ -141,10 +141,12 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **how)
     return Model([tuple(r) for r in counts(docs, text_col, lang_col).collect()], **how)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = (), batch: int = 64) -> DataFrame:
-    """The columns named in ``keep``, then lang_pred, score and ambiguous, for each row."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = (), batch: int = 64, with_text: bool = False) -> DataFrame:
+    """The columns named in ``keep``, the text if asked for, then lang_pred, score and ambiguous, for each row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
+    if with_text:
+        kept.append(T.StructField("text", T.StringType()))
     out = T.StructType([*kept, *T.StructType.fromDDL("lang_pred string, score double, ambiguous boolean")])
     arrow = to_arrow_schema(out)
 
@@ -153,12 +155,12 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
             for k in range(0, b.num_rows, batch):
                 part = b.slice(k, batch)
                 found = zip(*sent.value.predict(part.column(0).to_pylist()))
-                columns = [*part.columns[1:], *(pa.array(list(v)) for v in found)]
+                columns = [*part.columns[1:], *([part.column(0)] if with_text else []), *(pa.array(list(v)) for v in found)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     rows = docs.select(F.col(text_col).alias("text"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
     found = rows.mapInArrow(run, out)
-    return found.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score", "ambiguous")
+    return found.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *(["text"] if with_text else []), "lang_pred", "score", "ambiguous")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> DataFrame:
