@@ -1,16 +1,16 @@
 """Benchmark decontamination by a positional inverted index.
 
-The index is distributed by documents: a task indexes the documents it holds, a
-shard at a time, as sorted lists of positions for each term. The items of the
-benchmark are sent to every shard, and a phrase is found by intersecting its terms'
-lists, each moved back by the term's place in the phrase, from the rarest term on.
-A proximity query does the same with a tolerance. No posting is shuffled, and a
-lost executor costs only its shards.
-
-A shard stores lists for the terms that the items use. The items are sent in blocks
-of at most ``block`` words, whatever their number: a further block is a further map
-in the same stage over the same documents, which adds to what was found. No item and
-no document is cut.
+The index is distributed by documents: a task cuts the documents it holds into shards of
+about a million words, and stores for every term of a shard the sorted list of its
+positions (``build_index``, a written table). A phrase is found in a shard by
+intersecting its terms' lists, each moved back by the term's place in the phrase, from
+the rarest term on; a proximity query does the same with a tolerance. Only a shard's own
+rows have to meet, so that no list of a frequent term is ever gathered from the corpus.
+``contamination`` searches shards as they are indexed, for a benchmark that is asked
+once; ``search_index`` searches the stored index, for any benchmark.
+
+The items are sent in blocks of at most ``block`` words, whatever their number. No item
+and no document is cut.
 
 Words are runs of ASCII letters, digits and characters beyond ASCII, with A-Z in
 lower case. A window is ``size`` consecutive words of an item; a shorter item is one
@@ -24,15 +24,19 @@ table of documents gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ._shared import materialise
+
 _TO_WORDS = bytes(c if c >= 0x80 or chr(c).isalnum() else 32 for c in range(256)).lower()
 #: Words that a shard holds before it is searched.
 SHARD = 1_000_000
@@ -66,14 +70,26 @@ class Windows:
 
 
 class Index:
-    """Positions of terms over the words of some documents, which are -1 where a word is no term."""
+    """Sorted lists of positions by term."""
 
     def __init__(self, terms: np.ndarray, n_terms: int):
+        """Over the words of some documents, given as terms, which are -1 where a word is none."""
         at = np.flatnonzero(terms >= 0)
         order = np.argsort(terms[at], kind="stable")
-        self.positions = at[order]
-        self.counts = np.bincount(terms[at], minlength=n_terms)
-        self.starts = np.concatenate([[0], np.cumsum(self.counts)])
+        self._lists(at[order], np.bincount(terms[at], minlength=n_terms))
+
+    def _lists(self, positions: np.ndarray, counts: np.ndarray) -> None:
+        self.positions, self.counts = positions, counts
+        self.starts = np.concatenate([[0], np.cumsum(counts)])
+
+    @classmethod
+    def of(cls, lists: dict[int, np.ndarray], n_terms: int) -> Index:
+        """From stored lists by term."""
+        self = cls.__new__(cls)
+        none = np.zeros(0, np.int64)
+        found = [lists.get(t, none) for t in range(n_terms)]
+        self._lists(np.concatenate([none, *found]).astype(np.int64), np.array([len(x) for x in found], np.int64))
+        return self
 
     def postings(self, term: int) -> np.ndarray:
         return self.positions[self.starts[term] : self.starts[term + 1]]
@@ -114,7 +130,14 @@ def search(windows: Windows, texts: list[list[bytes]]) -> list[tuple[list[tuple[
     look = windows.ids.__getitem__
     for k, t in enumerate(texts):
         terms[begins[k] : begins[k + 1] - 1] = np.fromiter(map(look, t), np.int64, len(t))
-    index = Index(terms, len(windows.ids))
+    return _hits(windows, Index(terms, len(windows.ids)), begins)
+
+
+def _hits(windows: Windows, index: Index, begins: np.ndarray) -> list[tuple[list[tuple[int, int]], set]]:
+    """What ``search`` gives, for documents that begin at ``begins`` (and an end)."""
+    out: list[tuple[list, set]] = [([], set()) for _ in begins[1:]]
+    if not windows.phrases:
+        return out
     for p in np.flatnonzero(index.counts[windows.matrix].min(axis=1) > 0):
         phrase = windows.phrases[p]
         for at in index.phrase(phrase).tolist():
@@ -190,9 +213,137 @@ def _searcher(sent, size: int, n_kept: int, more: bool, drop_text: bool, arrow:
     return run
 
 
-def digests(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each document."""
-    found = contamination(docs, items, **how)
+#: Rows by which a shard's terms are stored; a small benchmark reads only those that may hold its terms.
+BUCKETS = 256
+
+
+def _bucket(word: bytes) -> int:
+    return zlib.crc32(word) % BUCKETS
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD) -> DataFrame:
+    """The stored index: (shard, bucket, terms, counts, positions, ids).
+
+    A row holds the terms of a bucket, how often each stands in the shard, and their
+    positions, term after term. A shard's row of bucket -1 has its documents' ids and
+    numbers of words. A document's words are followed by one empty position.
+    """
+    out = T.StructType([*T.StructType.fromDDL("shard long, bucket int, terms array<binary>, counts array<int>, positions array<int>"), T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType))])
+    arrow = to_arrow_schema(out)
+
+    def stored(shard: int, ids: list, texts: list[list[bytes]]) -> pa.RecordBatch:
+        lengths = np.array([len(t) for t in texts], np.int64)
+        known: dict[bytes, int] = {}
+        number = known.setdefault
+        terms = np.fromiter((number(w, len(known)) for t in texts for w in t), np.int64, int(lengths.sum()))
+        place = np.arange(len(terms)) + np.repeat(np.arange(len(texts)), lengths)
+        words_ = list(known)
+        bucket = np.fromiter(map(_bucket, words_), np.int64, len(words_))
+        by_bucket = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(words_), np.int64)
+        rank[by_bucket] = np.arange(len(words_))
+        order = np.argsort(rank[terms], kind="stable")
+        counts = np.bincount(rank[terms], minlength=len(words_))
+        edges = np.searchsorted(bucket[by_bucket], np.arange(BUCKETS + 1))
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        listed = lambda cuts, values, kind: pa.ListArray.from_arrays(pa.array([*cuts, len(values)], pa.int32()), pa.array(values, kind))
+        n_doc = len(texts)
+        sorted_words = [words_[k] for k in by_bucket.tolist()]
+        # the documents come first, then the buckets
+        columns = [
+            pa.array([shard] * (BUCKETS + 1), pa.int64()),
+            pa.array(range(-1, BUCKETS), pa.int32()),
+            listed([0, *edges[:-1].tolist()], sorted_words, pa.binary()),
+            listed([0, *(edges[:-1] + n_doc).tolist()], np.concatenate([lengths, counts]), pa.int32()),
+            listed([0, *ends[edges[:-1]].tolist()], place[order], pa.int32()),
+            listed([0, *[n_doc] * BUCKETS], ids, arrow.field("ids").type.value_type),
+        ]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId() << 24
+        ids, texts, count = [], [], 0
+        for b in batches:
+            for i, text in zip(b.column(0).to_pylist(), b.column(1)):
+                ids.append(i)
+                texts.append(words(text.as_py()))
+                count += len(texts[-1]) + 1
+                if count >= shard_words:
+                    yield stored(shard, ids, texts)
+                    shard, ids, texts, count = shard + 1, [], [], 0
+        if texts:
+            yield stored(shard, ids, texts)
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return materialise(rows.mapInArrow(run, out), "postings")
+
+
+def search_index(index: DataFrame, items: DataFrame, item_col: str = "item_id", item_text: str = "text", size: int = 10, block: int = 1_000_000) -> DataFrame:
+    """(id, n_words, ranges, items as strings) for each document of a stored index."""
+    kind = index.schema["ids"].dataType.elementType
+    out = T.StructType([*T.StructType.fromDDL("shard long, place int"), T.StructField("id", kind), *T.StructType.fromDDL("n_words long, ranges array<struct<s int, e int>>, items array<string>")])
+    arrow = to_arrow_schema(out)
+    found = None
+    blocks = item_blocks(items, item_col, item_text, block)
+    for part in blocks:
+        asked = [tuple(r) for r in part.collect()]
+        sent = index.sparkSession.sparkContext.broadcast(asked)
+        needed = sorted({_bucket(w) for _, text in asked for w in words(text)})
+        rows = index.where(F.col("bucket").isin(-1, *needed)) if len(needed) < BUCKETS else index
+        hits = rows.groupBy("shard").applyInArrow(_shard_searcher(sent, size, arrow), out)
+        found = hits if found is None else found.unionAll(hits)
+    if len(blocks) > 1:
+        both = found.groupBy("shard", "place").agg(F.first("id").alias("id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("items")).alias("items"))
+        found = both.withColumn("ranges", _merged_ranges(F.array_sort("ranges"))).withColumn("items", F.array_sort(F.array_distinct("items")))
+    return found.select("id", "n_words", "ranges", "items")
+
+
+def _merged_ranges(ranges):
+    def step(acc, r):
+        last = F.try_element_at(acc, F.lit(-1))
+        meets = (F.size(acc) > 0) & (r["s"] <= last["e"])
+        grown = F.struct(last["s"].alias("s"), F.greatest(last["e"], r["e"]).alias("e"))
+        return F.when(meets, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(r)))
+
+    return F.aggregate(ranges, F.slice(ranges, 1, 0), step)
+
+
+def _shard_searcher(sent, size: int, arrow: pa.Schema):
+    def run(shard: pa.Table) -> pa.Table:
+        windows = Windows(sent.value, size)
+        lists: dict[int, np.ndarray] = {}
+        ids, lengths = [], np.zeros(0, np.int64)
+        for batch in shard.to_batches():
+            terms, counts, positions, docs = (batch.column(c) for c in ("terms", "counts", "positions", "ids"))
+            for k, bucket in enumerate(batch.column("bucket").to_pylist()):
+                held = counts[k].values.to_numpy().astype(np.int64)
+                if bucket < 0:
+                    ids, lengths = docs[k].as_py(), held
+                    continue
+                at = np.concatenate([[0], np.cumsum(held)])
+                there = positions[k].values.to_numpy()
+                for n, word in enumerate(terms[k].values.to_pylist()):
+                    term = windows.ids.get(word)
+                    if term is not None:
+                        lists[term] = there[at[n] : at[n + 1]]
+        begins = np.concatenate([[0], np.cumsum(lengths + 1)])
+        found = _hits(windows, Index.of(lists, len(windows.ids)), begins)
+        columns = [
+            [shard.column("shard")[0].as_py()] * len(ids),
+            range(len(ids)),
+            ids,
+            lengths,
+            [[{"s": s, "e": e} for s, e in merged(r)] for r, _ in found],
+            [sorted(map(str, i)) for _, i in found],
+        ]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return run
+
+
+def digests(docs: DataFrame, items: DataFrame, size: int = 10, block: int = 1_000_000) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each document, by a stored index."""
+    found = search_index(build_index(docs), items, size=size, block=block).withColumnRenamed("id", "doc_id")
     hit = F.expr("aggregate(ranges, 0L, (n, x) -> n + x.e - x.s)")
     return found.select(
         "doc_id",

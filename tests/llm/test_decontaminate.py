@@ -35,8 +35,13 @@ def test_equals_search_by_hand(spark, block):
     docs = [(k, say(rng.randint(0, 60))) for k in range(60)] + [(None, None), (200, ""), (5, "x " + items[0][1]), (5, "x " + items[0][1])]
     df = spark.createDataFrame([(i, t, "n") for i, t in docs], "doc_id long, text string, n_words string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = D.contamination(df, bench, size=4, block=block).collect()
-    assert sorted(((r.doc_id, r.n_words, sum(x.e - x.s for x in r.ranges), ",".join(r["items"])) for r in got), key=str) == plain(docs, items, 4)
+    rows = lambda got, key: sorted(((r[key], r.n_words, sum(x.e - x.s for x in r.ranges), ",".join(r["items"])) for r in got), key=str)
+    assert rows(D.contamination(df, bench, size=4, block=block).collect(), "doc_id") == plain(docs, items, 4)
+    for shard in (1_000_000, 70):
+        index = D.build_index(df, shard_words=shard)
+        assert rows(D.search_index(index, bench, size=4, block=block).collect(), "id") == plain(docs, items, 4)
+        few = bench.where("item_id < 2")
+        assert rows(D.search_index(index, few, size=4).collect(), "id") == plain(docs, [x for x in items if x[0] < 2], 4)
 
 
 def test_shards_and_long_documents(spark, monkeypatch):
