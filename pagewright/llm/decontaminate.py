@@ -29,13 +29,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._shared import materialise
+from ._shared import arrow_rows, materialise
 
 _TO_WORDS = bytes(c if c >= 0x80 or chr(c).isalnum() else 32 for c in range(256)).lower()
 #: Words that a shard holds before it is searched.
@@ -225,40 +226,37 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The stored index: (shard, bucket, terms, counts, positions, ids).
 
     A row holds the terms of a bucket, how often each stands in the shard, and their
-    positions, term after term. A shard's row of bucket -1 has its documents' ids and
-    numbers of words. A document's words are followed by one empty position.
+    positions, term after term, as differences; all three are compressed. A shard's row
+    of bucket -1 has its documents' ids and numbers of words. A document's words are
+    followed by one empty position.
     """
-    out = T.StructType([*T.StructType.fromDDL("shard long, bucket int, terms array<binary>, counts array<int>, positions array<int>"), T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType))])
+    out = T.StructType([*T.StructType.fromDDL("shard long, bucket int, terms binary, counts binary, positions binary"), T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType))])
     arrow = to_arrow_schema(out)
 
     def stored(shard: int, ids: list, texts: list[list[bytes]]) -> pa.RecordBatch:
-        lengths = np.array([len(t) for t in texts], np.int64)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        lengths = np.array([len(t) for t in texts], np.int32)
         known: dict[bytes, int] = {}
         number = known.setdefault
         terms = np.fromiter((number(w, len(known)) for t in texts for w in t), np.int64, int(lengths.sum()))
-        place = np.arange(len(terms)) + np.repeat(np.arange(len(texts)), lengths)
-        words_ = list(known)
-        bucket = np.fromiter(map(_bucket, words_), np.int64, len(words_))
+        place = np.arange(len(terms), dtype=np.int32) + np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+        all_words = list(known)
+        bucket = np.fromiter(map(_bucket, all_words), np.int64, len(all_words))
         by_bucket = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(words_), np.int64)
-        rank[by_bucket] = np.arange(len(words_))
-        order = np.argsort(rank[terms], kind="stable")
-        counts = np.bincount(rank[terms], minlength=len(words_))
-        edges = np.searchsorted(bucket[by_bucket], np.arange(BUCKETS + 1))
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        listed = lambda cuts, values, kind: pa.ListArray.from_arrays(pa.array([*cuts, len(values)], pa.int32()), pa.array(values, kind))
-        n_doc = len(texts)
-        sorted_words = [words_[k] for k in by_bucket.tolist()]
-        # the documents come first, then the buckets
-        columns = [
-            pa.array([shard] * (BUCKETS + 1), pa.int64()),
-            pa.array(range(-1, BUCKETS), pa.int32()),
-            listed([0, *edges[:-1].tolist()], sorted_words, pa.binary()),
-            listed([0, *(edges[:-1] + n_doc).tolist()], np.concatenate([lengths, counts]), pa.int32()),
-            listed([0, *ends[edges[:-1]].tolist()], place[order], pa.int32()),
-            listed([0, *[n_doc] * BUCKETS], ids, arrow.field("ids").type.value_type),
-        ]
-        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+        rank = np.empty(len(all_words), np.int64)
+        rank[by_bucket] = np.arange(len(all_words))
+        ranked = rank[terms]
+        place = place[np.argsort(ranked, kind="stable")]
+        counts = np.bincount(ranked, minlength=len(all_words)).astype(np.int32)
+        edges = np.searchsorted(bucket[by_bucket], np.arange(BUCKETS + 1)).tolist()
+        ends = np.concatenate([[0], np.cumsum(counts)])[edges].tolist()
+        rows = [(shard, -1, b"", pack(lengths.tobytes()), b"", ids)]
+        for k in range(BUCKETS):
+            a, z = edges[k], edges[k + 1]
+            if a < z:
+                listed = np.diff(place[ends[k] : ends[k + 1]], prepend=np.int32(0))
+                rows.append((shard, k, pack(b" ".join([all_words[i] for i in by_bucket[a:z].tolist()])), pack(counts[a:z].tobytes()), pack(listed.tobytes()), []))
+        return arrow_rows(rows, arrow)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() << 24
@@ -313,19 +311,18 @@ def _shard_searcher(sent, size: int, arrow: pa.Schema):
         windows = Windows(sent.value, size)
         lists: dict[int, np.ndarray] = {}
         ids, lengths = [], np.zeros(0, np.int64)
-        for batch in shard.to_batches():
-            terms, counts, positions, docs = (batch.column(c) for c in ("terms", "counts", "positions", "ids"))
-            for k, bucket in enumerate(batch.column("bucket").to_pylist()):
-                held = counts[k].values.to_numpy().astype(np.int64)
-                if bucket < 0:
-                    ids, lengths = docs[k].as_py(), held
-                    continue
-                at = np.concatenate([[0], np.cumsum(held)])
-                there = positions[k].values.to_numpy()
-                for n, word in enumerate(terms[k].values.to_pylist()):
-                    term = windows.ids.get(word)
-                    if term is not None:
-                        lists[term] = there[at[n] : at[n + 1]]
+        unpack = zstandard.ZstdDecompressor().decompress
+        for bucket, terms, counts, positions, held_ids in zip(*(shard.column(c).to_pylist() for c in ("bucket", "terms", "counts", "positions", "ids"))):
+            held = np.frombuffer(unpack(counts), np.int32).astype(np.int64)
+            if bucket < 0:
+                ids, lengths = held_ids, held
+                continue
+            at = np.concatenate([[0], np.cumsum(held)])
+            there = np.cumsum(np.frombuffer(unpack(positions), np.int32))
+            for n, word in enumerate(unpack(terms).split(b" ")):
+                term = windows.ids.get(word)
+                if term is not None:
+                    lists[term] = there[at[n] : at[n + 1]]
         begins = np.concatenate([[0], np.cumsum(lengths + 1)])
         found = _hits(windows, Index.of(lists, len(windows.ids)), begins)
         columns = [
