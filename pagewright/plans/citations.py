@@ -233,12 +233,18 @@ def f13_reading_units(spark, sf_dir):
     return found.groupBy("doc_id", "unit").agg(F.count("*").alias("n_words"))
 
 
-@query(rf"""with {BLOCKS}, p as (select doc_id, seq, text, lead(text) over (partition by doc_id order by seq) as following, lead(seq) over (partition by doc_id order by seq) as next_seq from blocks where trim(text) <> '')
+# The documents' own lines end with a mark; every fifth loses it here, and the line after it its capital.
+_CUT = "case seq % 5 when 2 then regexp_replace(text, '[.!?:;”\"’)\\]]+$', '') when 3 then lower(text) else text end"
+
+
+@query(rf"""with {BLOCKS}, cut as (select doc_id, seq, {_CUT} as text from blocks), p as (select doc_id, seq, text, lead(text) over (partition by doc_id order by seq) as following, lead(seq) over (partition by doc_id order by seq) as next_seq from cut where trim(text) <> '')
 select doc_id, seq, next_seq, regexp_extract(trim(text), '(\S+)$', 1) as last_word, regexp_extract(trim(following), '^(\S+)', 1) as first_word from p
 where following is not null and not regexp_matches(trim(text), '[.!?:;”"’)\]]$') and regexp_matches(trim(following), '^\p{{Ll}}')""")
 def f11_split_sentences(spark, sf_dir):
     """Sentences that seem to be split over two paragraphs."""
-    rows = lines(table(spark, sf_dir, "documents")).where("trim(text) <> ''")
+    t = F.col("text")
+    cut = F.when(F.col("seq") % 5 == 2, F.regexp_replace(t, "[.!?:;”\"’)\\]]+$", "")).when(F.col("seq") % 5 == 3, F.lower(t)).otherwise(t)
+    rows = lines(table(spark, sf_dir, "documents")).withColumn("text", cut).where("trim(text) <> ''")
     order = W.partitionBy("doc_id").orderBy("seq")
     rows = rows.select("doc_id", "seq", F.trim("text").alias("text"), F.trim(F.lead("text").over(order)).alias("following"), F.lead("seq").over(order).alias("next_seq"))
     rows = rows.where(~F.col("text").rlike(r"[.!?:;”\"’)\]]$") & F.col("following").rlike(r"^\p{Ll}"))
