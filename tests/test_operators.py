@@ -202,3 +202,21 @@ def test_nothing_is_sent_without_consent(spark):
             answers(rows, lambda p: "{}", consent)
     got = {r.request: (r.answer, r.error is None) for r in answers(rows, lambda p: "{}" if p == "a" else "no json", Consent("ai_assisted", True, "k")).collect()}
     assert got == {1: ("{}", True), 2: (None, False)}
+
+
+def test_tables_by_white_space():
+    def line(k, *cells):
+        words = [(x, x + 6.0 * len(w), w) for x, w in cells]
+        return {"box": (words[0][0], 100.0 + 12 * k, words[-1][1], 110.0 + 12 * k), "size": 10.0, "words": words}
+
+    rows = [line(0, (40.0, "Name"), (140.0, "Role"), (240.0, "Office")), line(1, (40.0, "Anna"), (140.0, "Editor"), (240.0, "2.14")), line(2, (40.0, "Bo"), (140.0, "Writer"), (240.0, "3.1"))]
+    prose = line(4, (40.0, "just"), (70.0, "some"), (100.0, "prose"))
+    (box, cells_), = L.gap_tables([*rows, prose])
+    assert cells_ == [["Name", "Role", "Office"], ["Anna", "Editor", "2.14"], ["Bo", "Writer", "3.1"]] and box == (40.0, 100.0, 276.0, 134.0)
+    assert L.gap_tables(rows[:2]) == []
+
+
+def test_text_columns():
+    text = "x" * 50
+    lines = [(40.0 + 10 * (k % 4 == 0), 290.0, text) for k in range(8)] + [(300.0, 550.0, text) for _ in range(8)] + [(40.0, 60.0, "short")]
+    assert L.text_columns(lines) == [(40.0, 290.0), (300.0, 550.0)]
