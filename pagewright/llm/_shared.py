@@ -36,6 +36,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of some rows, so that few texts are Python strings at a time."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def arrow_rows(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     """A record batch of rows given as tuples."""
     columns = zip(*rows) if rows else [[] for _ in arrow]
@@ -52,7 +59,7 @@ def map_rows(df: DataFrame, ddl: str | T.StructType, make, batch: int = 4096) ->
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each, held = make(), []
-        for b in batches:
+        for b in slices(batches):
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 held.extend(each(*row))
                 if len(held) >= batch:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._shared import arrow_rows, materialise
+from ._shared import arrow_rows, materialise, slices
 
 END = b"\n"  # no word holds one
 LENGTHS = (4, 8)
@@ -65,7 +65,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-        for b in batches:
+        for b in slices(batches):
             for text in b.column(0).to_pylist():
                 held.update(words(text))
                 held[END] += 1
@@ -114,7 +114,7 @@ def bigram_counts(docs: DataFrame, text_col: str, sent) -> np.ndarray:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = sent.value
         total = np.zeros(head.units**2, np.int64)
-        for b in batches:
+        for b in slices(batches):
             parts, count = [], 0
             for text in b.column(0).to_pylist():
                 tokens = words(text)

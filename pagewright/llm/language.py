@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ._shared import slices
+
 UND = "und"
 BITS = 14
 BUCKETS = 1 << BITS
@@ -62,7 +64,7 @@ def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in slices(batches):
             for text, lang in zip(*(c.to_pylist() for c in b.columns)):
                 if text and _LETTER.search(text):
                     if lang in sums:

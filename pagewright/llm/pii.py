@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import spans
-from ._shared import map_rows, materialise
+from ._shared import map_rows, materialise, slices
 
 KINDS = ("email", "ip", "card", "phone", "term")
 MARKS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]")
@@ -155,7 +155,7 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", reach: int = 8, su
 
         def count(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             held: Counter[bytes] = Counter()  # no more than the block's terms
-            for b in batches:
+            for b in slices(batches):
                 for text in b.column(0).to_pylist():
                     if text:
                         held.update(sent.value.intersection(words(text)))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._shared import map_rows, materialise
+from ._shared import map_rows, materialise, slices
 from .components import components
 
 BITS = 64
@@ -263,7 +263,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for b in batches:
+        for b in slices(batches):
             prints = [signed(fingerprint(text, width)) for text in b.column(1).to_pylist()]
             columns = [*b.columns, pa.array(range(row, row + b.num_rows), pa.int64()), pa.array(prints, pa.int64())]
             row += b.num_rows
