@@ -55,19 +55,24 @@ def ends(found: Column) -> Column:
     return F.transform(found, lambda w, i: ends_sentence(w, F.get(found, i + 1)))
 
 
+def spread(lengths: Column) -> Column:
+    """array<int>: the number of each run, as often as the run is long."""
+    return F.flatten(F.transform(lengths, lambda n, k: F.array_repeat(k, n)))
+
+
 def units(stops: Column, most: int = 60) -> Column:
-    """array<int>: the reading unit of each word; a unit ends where a sentence does or after ``most`` words."""
+    """array<int>: the reading unit of each word; a unit ends where a sentence does or after ``most`` words.
+
+    The fold keeps one number for each unit, not for each word, so that long texts cost little.
+    """
 
     def step(acc, stop):
-        done = stop | (acc["used"] + 1 >= most)
-        return F.struct(
-            F.when(done, 0).otherwise(acc["used"] + 1).alias("used"),
-            F.when(done, acc["unit"] + 1).otherwise(acc["unit"]).alias("unit"),
-            F.concat(acc["out"], F.array(acc["unit"])).alias("out"),
-        )
+        grown = acc["used"] + 1
+        done = stop | (grown >= most)
+        return F.struct(F.when(done, 0).otherwise(grown).alias("used"), F.when(done, F.concat(acc["out"], F.array(grown))).otherwise(acc["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("unit"), F.expr("cast(array() as array<int>)").alias("out"))
-    return F.aggregate(stops, start, step, lambda acc: acc["out"])
+    start = F.struct(F.lit(0).alias("used"), F.expr("cast(array() as array<int>)").alias("out"))
+    return spread(F.aggregate(stops, start, step, lambda acc: F.when(acc["used"] > 0, F.concat(acc["out"], F.array(acc["used"]))).otherwise(acc["out"])))
 
 
 def summary_parts(found: Column, size: int = 3000) -> Column:
@@ -88,10 +93,10 @@ def lines(widths: Column, limit: int, space: int = 1) -> Column:
     """array<int>: the line of each word, as many to a line as fit."""
 
     def step(acc, w):
-        full = (F.size(acc["out"]) > 0) & (acc["used"] + space + w > limit)
-        line = F.when(full, acc["line"] + 1).otherwise(acc["line"]).cast("int")
-        used = F.when(full | (F.size(acc["out"]) == 0), w).otherwise(acc["used"] + space + w).cast("int")
-        return F.struct(used.alias("used"), line.alias("line"), F.concat(acc["out"], F.array(line)).alias("out"))
+        full = (acc["n"] > 0) & (acc["used"] + space + w > limit)
+        used = F.when(full | (acc["n"] == 0), w).otherwise(acc["used"] + space + w).cast("int")
+        out = F.when(full, F.concat(acc["out"], F.array(acc["n"]))).otherwise(acc["out"])
+        return F.struct(used.alias("used"), F.when(full, 1).otherwise(acc["n"] + 1).alias("n"), out.alias("out"))
 
-    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("line"), F.expr("cast(array() as array<int>)").alias("out"))
-    return F.aggregate(widths, start, step, lambda acc: acc["out"])
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.expr("cast(array() as array<int>)").alias("out"))
+    return spread(F.aggregate(widths, start, step, lambda acc: F.when(acc["n"] > 0, F.concat(acc["out"], F.array(acc["n"]))).otherwise(acc["out"])))

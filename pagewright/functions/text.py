@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .spans import matches
+from .spans import let, matches
 
 # What a word is, and common short words by language, in the order in which ties are settled.
 TOKEN = r"[\p{L}\p{N}]+(?:['’\-][\p{L}\p{N}]+)*"
@@ -36,13 +36,18 @@ def words(text: Column) -> Column:
 
 def language(text: Column) -> Column:
     """The language with most common words among the first characters; English without any."""
-    found = F.transform(tokens(F.substring(text, 1, SAMPLE)), lambda w: F.lower(w))
-    scores = []
-    for rank, (lang, known) in enumerate(STOPWORDS.items()):
-        held = F.array(*map(F.lit, known))
-        n = F.size(F.filter(found, _in(held)))
-        scores.append(F.struct(n.alias("n"), F.lit(-rank).alias("rank"), F.lit(lang).alias("lang")))
-    best = F.array_max(F.array(*scores))
+    every = F.array(*(F.lit(w) for w in dict.fromkeys(w for ws in STOPWORDS.values() for w in ws)))
+    lower = F.transform(tokens(F.substring(text, 1, SAMPLE)), lambda w: F.lower(w))
+
+    def vote(found):
+        scores = [
+            F.struct(F.size(F.filter(found, _in(F.array(*map(F.lit, known))))).alias("n"), F.lit(-rank).alias("rank"), F.lit(lang).alias("lang"))
+            for rank, (lang, known) in enumerate(STOPWORDS.items())
+        ]
+        return F.array_max(F.array(*scores))
+
+    # only the common words, once, before each language looks for its own
+    best = let(F.filter(lower, _in(every)), vote)
     return F.when(best["n"] > 0, best["lang"]).otherwise(F.lit("en"))
 
 

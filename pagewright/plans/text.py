@@ -25,10 +25,11 @@ from blocks b join voted using (doc_id) group by all""")
 def e02_block_language(spark, sf_dir):
     """Each document's language by common words, with its blocks and tokens counted."""
     docs = table(spark, sf_dir, "documents")
-    blocks = F.split("text", "\n")
-    count = F.aggregate(blocks, F.lit(0).cast("long"), lambda n, b: n + F.size(X.tokens(b)))
-    chars = F.aggregate(blocks, F.lit(0).cast("long"), lambda n, b: n + F.length(b))
-    return docs.select("doc_id", X.language(F.col("text")).alias("language"), F.size(blocks).cast("long").alias("n_blocks"), chars.alias("n_chars"), count.alias("n_tokens"))
+    # no token holds a line end, so that a text's tokens are its blocks' tokens
+    n = F.regexp_count("text", F.lit("\n")) + 1
+    tokens = F.regexp_count("text", F.lit(X.TOKEN))
+    counts = [n.cast("long").alias("n_blocks"), (F.length("text") - n + 1).cast("long").alias("n_chars"), tokens.cast("long").alias("n_tokens")]
+    return docs.select("doc_id", X.language(F.col("text")).alias("language"), *counts)
 
 
 @query(f"""with {BLOCKS}, found as (
