@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one that comes in fewer pieces than there are cores is dealt out to them.
+
+    That is a table of a file or two. A large one has a piece for every 128 MB, and is read as it is.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    pieces = rows._jdf.queryExecution().toRdd().getNumPartitions()
+    return rows.repartition(cores) if pieces < cores else rows
 
 
 def lines(documents: DataFrame) -> DataFrame:
