@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 WORDS = {
     w: 1e-4
     for w in (
-        "the dyslexia information computer research for a of scientific significant flow staff little submitted not is it optimize analytic characteristic number state tax sustainable central collect forest crown"
+        "the chemistry information computer research for a of scientific significant flow staff little submitted not is it optimize analytic characteristic number state tax sustainable central collect forest crown"
         " model works test tests describe describing logic word words split in to"
     ).split()
 }
@@ -31,15 +31,15 @@ def test_suggestions(lexicon):
     from collections import Counter
 
     say = lambda w: suggest(w, "x ", Counter(), lexicon)
-    assert say("dyslexla") == ("dyslexia", 0.97)
+    assert say("chemlstry") == ("chemistry", 0.97)
     assert say("informatlon")[0] == "information" and say("cornputer")[1] >= 0.9
     word, sure = say("reserach")
     assert word == "research" and sure < 0.9
     assert say("forthe") == ("for the", 0.93)
     for w in ("Kitchin", "NASA", "optimise", "analytics", "crown’s", "forests’", "nonsustainable", "decentral", "collectivizers", "describ", "rentes", "logics", "ab", "camelCase"):
         assert say(w) is None, w
-    assert suggest("Dyslexla", "It ends. ", Counter(), lexicon) == ("Dyslexia", 0.97)
-    assert suggest("dyslexla", "x ", Counter({"dyslexla": 3}), lexicon) is None
+    assert suggest("Chemlstry", "It ends. ", Counter(), lexicon) == ("Chemistry", 0.97)
+    assert suggest("chemlstry", "x ", Counter({"chemlstry": 3}), lexicon) is None
 
 
 def test_split_words(lexicon):
@@ -52,12 +52,12 @@ def test_mistake_lists():
 
 
 def test_document_corrections(spark):
-    docs = spark.createDataFrame([(1, "The dyslexla study used the reserach data."), (2, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "The chemlstry study used the reserach data."), (2, None)], "doc_id long, text string")
     rows = spark.createDataFrame(list((WORDS | {"study": 1e-4, "used": 1e-4, "data": 1e-4}).items()), "word string, freq double")
     lexicon = K.lexicon_of(rows)
     got = {(r.original, r.replacement): r.status for r in K.corrections(docs, lexicon).collect()}
-    assert got == {("dyslexla", "dyslexia"): "auto", ("reserach", "research"): "pending"}
-    assert [r.original for r in K.corrections(docs, lexicon, "automatic").collect()] == ["dyslexla"]
+    assert got == {("chemlstry", "chemistry"): "auto", ("reserach", "research"): "pending"}
+    assert [r.original for r in K.corrections(docs, lexicon, "automatic").collect()] == ["chemlstry"]
     assert K.corrections(docs, lexicon, "disabled").collect() == []
     fixes = K.word_fixes(spark.createDataFrame([(1, "a scientifi c word")], "doc_id long, text string"), lexicon, [("word", "words")]).collect()
     assert [(r.replacement, r.source) for r in fixes] == [("scientific", "ligature"), ("words", "list")]
