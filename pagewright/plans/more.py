@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from ..functions import overlay as O
 from ..functions import packing as P
 from ..functions import text as X
+from ..functions.citations import numbers
 from ..operators import compose as C
 from ..operators import links as L
 from ..operators import requests as R
@@ -71,8 +72,8 @@ def d15_popups(spark, sf_dir):
     """What made-up markers point to, where references exist."""
     rows = _rows(spark, sf_dir)
     markers = rows.select("doc_id", F.col("seq").alias("id"), F.expr("concat(s % 9, ', ', p % 20, '-', p % 20 + s)").alias("spec"))
-    numbers = spark.range(0, 2000).where("id % 3 > 0").select(F.col("id").cast("int").alias("number"), F.concat(F.lit("R"), F.col("id").cast("string")).alias("text"))
-    refs = rows.select("doc_id").distinct().join(markers.select("doc_id", F.explode(F.expr("sequence(0, 60)")).alias("number")).distinct(), "doc_id").join(F.broadcast(numbers), "number")
+    named = markers.select("doc_id", F.explode(numbers(F.col("spec"), 30)).alias("number")).where("number % 3 > 0").distinct()
+    refs = named.withColumn("text", F.concat(F.lit("R"), F.col("number").cast("string")))
     return L.popups(markers, refs)
 
 
