@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._shared import map_rows, materialise, slices
+from ._shared import map_rows, materialise, met, named, slices
 from .components import components
 
 BITS = 64
@@ -269,8 +269,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             row += b.num_rows
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    rest = [c for c in docs.columns if c != text_col]
-    rows = materialise(docs.select(F.struct(*rest).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, out), "printed")
+    rows = materialise(docs.select(F.struct(*(named(c) for c in docs.columns if c != text_col)).alias("doc"), named(text_col).alias("text")).mapInArrow(run, out), "printed")
     ids = rows.select(F.col("doc").getField(id_col).alias("id"), "row", "fp")
     first = ids.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
     firsts = first.join(classes(rows, max_bits, subtree_limit), "fp").groupBy("root").agg(F.min("first").alias("first"))
@@ -281,8 +280,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2, subtree_limit: int = 50_000) -> DataFrame:
     """(id_col, fingerprint, component_id) for each row of ``docs``."""
     prints = materialise(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    least = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    least = prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     found = materialise(least.join(classes(prints, max_bits, subtree_limit), "fp"), "classes")
-    ids = found.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = found.join(ids, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = materialise(found.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("prints")), "ids")
+    by_print = materialise(met(found, ids, "root", "prints").select("fp", "component_id", "n"), "by-print")
+    rows = met(prints, by_print, "fp", "n")  # texts without words all have one fingerprint
+    return rows.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
