@@ -4,14 +4,16 @@ A source's words are its documents' sizes added up. The targets share all words
 the sources' weights, but none is above ``most`` times its source's words; what that
 leaves over goes to the others by weight, until none is above. With the level L that
 this settles at, target = least(most * words, L * weight); the sources reach their
-limits in the order of words / weight, so that one ordered pass over the table of
-sources gives L. A source's repetition rate is target / words. A document is taken
+limits one after the other, so that L rises from its value without limits by one sum
+over the sources for each step, until no further source is full. A source's repetition rate is target / words. A document is taken
 floor(rate) times and once more if a uniform number hashed from its id and the seed
 is below the fraction, so that reruns agree wherever a row is computed.
 
-Scale: the words are counted in the scan, sums by source are combined before the
-shuffle, and each document meets its source's row in an equi-join: by broadcast, if the
-sources have been counted and are few, or else by source, split where it is skewed.
+Scale: the words are counted in the scan, and sums by source are combined before the
+shuffle. The sources are numbered in range partitions, each apart, so that no task
+holds all of them, and only sums over them reach the driver. Each document meets its
+source's row in an equi-join: by broadcast, if the sources have been counted and are
+few, or else by source, where those of very many documents are broadcast.
 
 Defined cases: a null text has size 0; null is a source like any other, the last; a
 source without words has target 0 and rate 0; repeated rows each give a row, and all
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._shared import materialise
+from ._shared import materialise, met
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -40,26 +42,35 @@ def uniform(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
+def _numbered(total: DataFrame) -> DataFrame:
+    """The rows of ``total``, one for each source, with their place ``at`` in the order of sources, from 0."""
+    dealt = materialise(total.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "sources")
+    # one row for each partition
+    before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.row_number().over(W.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
+    return dealt.withColumn("place", place).join(F.broadcast(sizes), "part").withColumn("at", F.col("before") + F.col("place") - 1).drop("part", "place", "before")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0) -> DataFrame:
-    """(source, source_size, target) from rows of (source, size).
+    """(source, source_size, rows, target) from rows of (source, size).
 
     The sources take the weights in the order of their code points, null last,
     beginning again as often as needed.
     """
-    total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    at = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
-    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), ((at - 1) % len(weights) + 1).cast("int"))
-    rows = total.withColumn("weight", weight).withColumn("most", F.col("source_size") * most)
-    order = W.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    everything = W.partitionBy()
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    open_weight = F.sum("weight").over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
-    rows = rows.withColumn("level", left / open_weight).withColumn("full", F.col("level") * F.col("weight") >= F.col("most"))
-    rows = rows.withColumn("place", F.row_number().over(order))
-    level = F.min(F.when(~F.col("full"), F.struct("place", "level"))).over(everything)["level"]  # of the first that isn't full
-    target = F.when(level.isNull(), F.col("most")).otherwise(F.least("most", level * F.col("weight")))
-    return rows.select("source", "source_size", target.cast("double").alias("target"))
+    total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("at") % len(weights) + 1).cast("int"))
+    sources = materialise(_numbered(total).withColumn("weight", weight).withColumn("most", F.col("source_size") * most), "weighed")
+    words = sources.agg(F.sum("source_size")).first()[0] or 0
+    level, full = 0.0, -1
+    while True:
+        is_full = F.col("most") <= F.lit(level) * F.col("weight")
+        taken, open_weight, n = sources.agg(F.sum(F.when(is_full, F.col("most"))), F.sum(F.when(~is_full, F.col("weight"))), F.count(F.when(is_full, 1))).first()
+        if n == full or not open_weight:
+            break
+        level, full = (words - (taken or 0.0)) / open_weight, n
+    limit = F.col("most") if not open_weight else F.least("most", F.lit(level) * F.col("weight"))
+    return sources.select("source", "source_size", "rows", limit.cast("double").alias("target"))
 
 
 def copies(id_col: Column, seed: int) -> Column:
@@ -68,31 +79,40 @@ def copies(id_col: Column, seed: int) -> Column:
     return (F.floor(rate) + F.when(uniform(id_col, seed) < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
-def _met(rows: DataFrame, source: Column, goal: DataFrame, broadcast_rows: int) -> DataFrame:
-    """``rows`` with their source's ``goal``, a written table whose rows have been counted.
+def _goals(sizes: DataFrame, **how) -> DataFrame:
+    """The targets by a key that is never null, as a written table of (key, rows, goal)."""
+    goal = F.struct("source", "source_size", "target").alias("__goal")
+    return materialise(targets(sizes, **how).select(_key(F.col("source")).alias("__key"), "rows", goal), "targets")
+
+
+def _key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
+def _aimed(rows: DataFrame, source: Column, goal: DataFrame, broadcast_rows: int) -> DataFrame:
+    """``rows`` with their source's ``__goal``.
 
-    Up to ``broadcast_rows`` sources are sent to every task, so that texts stay where they
-    are; more of them are joined by source, where Spark splits a source of very many rows.
+    Up to ``broadcast_rows`` sources, as counted, are sent to every task, so that texts stay
+    where they are; more of them are joined by source, the hot ones by a broadcast.
     """
+    rows = rows.withColumn("__key", _key(source))
     if goal.count() <= broadcast_rows:
-        goal = F.broadcast(goal)
-    return rows.join(goal, source.eqNullSafe(F.col("__goal.source")))
+        return rows.join(F.broadcast(goal.drop("rows")), "__key").drop("__key")
+    return met(rows, goal, "__key", "rows").drop("__key")
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 10, broadcast_rows: int = 50_000, **how) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for each document; taken is in words."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
     rows = materialise(rows, "sizes")  # counted once, for the sums and for the rows
-    goal = materialise(targets(rows, **how).select(F.struct("source", "source_size", "target").alias("__goal")), "targets")
-    both = _met(rows, F.col("source"), goal, broadcast_rows).select("doc_id", "size", F.col("__goal.source_size").alias("source_size"), F.col("__goal.target").alias("target"))
+    both = _aimed(rows, F.col("source"), _goals(rows, **how), broadcast_rows).select("doc_id", "size", F.col("__goal.source_size").alias("source_size"), F.col("__goal.target").alias("target"))
     return both.select("doc_id", "size", "source_size", "target", (F.col("size") * copies(F.col("doc_id"), seed)).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 10, broadcast_rows: int = 50_000, **how) -> DataFrame:
     """The documents, each as often as it is taken, with the columns they had."""
     sizes = docs.select(F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
-    goal = materialise(targets(sizes, **how).select(F.struct("source", "source_size", "target").alias("__goal")), "targets")
     rows = docs.select(F.struct("*").alias("__doc"))
-    both = _met(rows, F.col(f"__doc.`{source_col}`"), goal, broadcast_rows).select("__doc", F.col("__goal.source_size").alias("source_size"), F.col("__goal.target").alias("target"))
+    both = _aimed(rows, F.col(f"__doc.`{source_col}`"), _goals(sizes, **how), broadcast_rows).select("__doc", F.col("__goal.source_size").alias("source_size"), F.col("__goal.target").alias("target"))
     times = copies(F.col(f"__doc.`{id_col}`"), seed).cast("int")
     return both.select("__doc", times.alias("__times")).where("__times > 0").select("__doc", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("__doc.*")
