@@ -2,19 +2,23 @@
 
 The index is distributed by documents: a task cuts the documents it holds into shards of
 about a million words, and stores for every term of a shard the sorted list of its
-positions (``build_index``, a written table). A phrase is found in a shard by
-intersecting its terms' lists, each moved back by the term's place in the phrase, from
-the rarest term on; a proximity query does the same with a tolerance. Only a shard's own
-rows have to meet, so that no list of a frequent term is ever gathered from the corpus.
-``contamination`` searches shards as they are indexed, for a benchmark that is asked
-once; ``search_index`` searches the stored index, for any benchmark.
-
-The items are sent in blocks of at most ``block`` words, whatever their number. No item
-and no document is cut.
+positions (``build_index``, a written table of one row for each shard). A phrase is found
+in a shard by intersecting its terms' lists, each moved back by the term's place in the
+phrase, from the rarest term on. A proximity match is a place in one document where
+all words of a window but ``misses`` stand within ``slack`` words of where they should;
+its candidates come from the lists of the ``misses + 1`` rarest terms, one of which every
+match must hold. Only a shard's own lists have to meet, so that no list of a frequent
+term is ever gathered from the corpus, and a search reads every shard where it is
+written, without a shuffle.
+
+The items are searched in blocks of at most ``block`` words, whatever their number; a
+further block is a further job, and nothing is held for two. No item and no document is cut.
 
 Words are runs of ASCII letters, digits and characters beyond ASCII, with A-Z in
 lower case. A window is ``size`` consecutive words of an item; a shorter item is one
-window. A document's word is hit if it is inside an occurrence of a window.
+window, and matches as a phrase only. A document's word is hit if it is inside an
+occurrence of a window, and near if it is inside a proximity match, which an
+occurrence is too.
 
 Defined cases: null and empty texts have no words and are not contaminated; items
 without words match nothing; repeated documents each give a row, repeated items count
@@ -36,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._shared import arrow_rows, materialise
+from ._shared import arrow_rows, materialise, named, superseded
 
 _TO_WORDS = bytes(c if c >= 0x80 or chr(c).isalnum() else 32 for c in range(256)).lower()
 #: Words that a shard holds before it is searched.
@@ -56,7 +60,7 @@ class Windows:
     """The windows of a block of items, over the terms they use."""
 
     def __init__(self, items: list[tuple], size: int):
-        self.ids = _Ids()
+        self.size, self.ids = size, _Ids()
         phrases: dict[tuple[int, ...], set] = {}
         for item, text in items:
             terms = [self.ids.setdefault(w, len(self.ids)) for w in words(text)]
@@ -71,26 +75,19 @@ class Windows:
 
 
 class Index:
-    """Sorted lists of positions by term."""
-
-    def __init__(self, terms: np.ndarray, n_terms: int):
-        """Over the words of some documents, given as terms, which are -1 where a word is none."""
-        at = np.flatnonzero(terms >= 0)
-        order = np.argsort(terms[at], kind="stable")
-        self._lists(at[order], np.bincount(terms[at], minlength=n_terms))
-
-    def _lists(self, positions: np.ndarray, counts: np.ndarray) -> None:
-        self.positions, self.counts = positions, counts
-        self.starts = np.concatenate([[0], np.cumsum(counts)])
-
-    @classmethod
-    def of(cls, lists: dict[int, np.ndarray], n_terms: int) -> Index:
-        """From stored lists by term."""
-        self = cls.__new__(cls)
+    """Sorted lists of positions by term, of documents that begin at ``begins``.
+
+    A document's words are followed by one empty position; ``begins`` ends with where a
+    further document would begin.
+    """
+
+    def __init__(self, lists: dict[int, np.ndarray], n_terms: int, begins: np.ndarray):
         none = np.zeros(0, np.int64)
         found = [lists.get(t, none) for t in range(n_terms)]
-        self._lists(np.concatenate([none, *found]).astype(np.int64), np.array([len(x) for x in found], np.int64))
-        return self
+        self.positions = np.concatenate([none, *found]).astype(np.int64)
+        self.counts = np.array([len(x) for x in found], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.counts)])
+        self.begins = begins
 
     def postings(self, term: int) -> np.ndarray:
         return self.positions[self.starts[term] : self.starts[term + 1]]
@@ -107,44 +104,62 @@ class Index:
             found = found[there[np.minimum(place, len(there) - 1)] == found + k] if len(there) else found[:0]
         return found
 
-    def near(self, terms: tuple[int, ...], slack: int) -> np.ndarray:
-        """Positions of the rarest term that have every other term within ``slack`` of its offset."""
+    def near(self, terms: tuple[int, ...], slack: int, misses: int) -> np.ndarray:
+        """(start, first and end of its document) of every place that all terms but ``misses`` are near to, as columns."""
         order = sorted(range(len(terms)), key=lambda k: self.counts[terms[k]])
-        found = self.postings(terms[order[0]])
-        for k in order[1:]:
-            if not len(found):
-                break
-            there = self.postings(terms[k])
-            want = found + (k - order[0])
-            found = found[np.searchsorted(there, want + slack, "right") > np.searchsorted(there, want - slack, "left")]
-        return found
-
-
-def search(windows: Windows, texts: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set]]:
-    """For each document of a shard: its hit ranges [start, end) of words, and the items found."""
-    out: list[tuple[list, set]] = [([], set()) for _ in texts]
-    if not windows.phrases:
-        return out
-    lengths = np.array([len(t) + 1 for t in texts])  # a gap after each, so that no phrase goes on in the next
-    begins = np.concatenate([[0], np.cumsum(lengths)])
-    terms = np.full(begins[-1], -1, np.int64)
-    look = windows.ids.__getitem__
-    for k, t in enumerate(texts):
-        terms[begins[k] : begins[k + 1] - 1] = np.fromiter(map(look, t), np.int64, len(t))
-    return _hits(windows, Index(terms, len(windows.ids)), begins)
-
-
-def _hits(windows: Windows, index: Index, begins: np.ndarray) -> list[tuple[list[tuple[int, int]], set]]:
-    """What ``search`` gives, for documents that begin at ``begins`` (and an end)."""
-    out: list[tuple[list, set]] = [([], set()) for _ in begins[1:]]
+        out = []
+        for k in order[: misses + 1]:
+            at = self.postings(terms[k])
+            d = np.searchsorted(self.begins, at, "right") - 1
+            shift = np.arange(-slack, slack + 1)
+            found = np.stack([(at[:, None] - k + shift).ravel(), np.repeat(self.begins[d], len(shift)), np.repeat(self.begins[d + 1] - 1, len(shift))])
+            missed = np.zeros(found.shape[1], np.int64)
+            for j in order:
+                if not found.shape[1]:
+                    break
+                there = self.postings(terms[j])
+                want = found[0] + j
+                first, last = np.maximum(want - slack, found[1]), np.minimum(want + slack, found[2] - 1)
+                missed += np.searchsorted(there, last, "right") <= np.searchsorted(there, first, "left")
+                left = missed <= misses
+                found, missed = found[:, left], missed[left]
+            out.append(found)
+        return np.unique(np.concatenate(out, axis=1), axis=1)
+
+
+class Hits:
+    """What a document holds: ranges [start, end) of words and the items, of phrases and of proximity matches."""
+
+    __slots__ = ("items", "near", "near_items", "ranges")
+
+    def __init__(self):
+        self.ranges, self.items, self.near, self.near_items = [], set(), [], set()
+
+
+def search(windows: Windows, index: Index, slack: int = 2, misses: int = 1) -> list[Hits]:
+    """For each document of a shard, what is found in it."""
+    begins = index.begins
+    out = [Hits() for _ in begins[1:]]
     if not windows.phrases:
         return out
-    for p in np.flatnonzero(index.counts[windows.matrix].min(axis=1) > 0):
-        phrase = windows.phrases[p]
-        for at in index.phrase(phrase).tolist():
-            d = int(np.searchsorted(begins, at, "right")) - 1
-            out[d][0].append((at - int(begins[d]), at - int(begins[d]) + len(phrase)))
-            out[d][1].update(windows.items[p])
+    absent = (index.counts[windows.matrix] == 0).sum(axis=1)
+    for p in np.flatnonzero(absent <= misses):
+        phrase, items = windows.phrases[p], windows.items[p]
+        if not absent[p]:
+            for at in index.phrase(phrase).tolist():
+                d = int(np.searchsorted(begins, at, "right")) - 1
+                place = (at - int(begins[d]), at - int(begins[d]) + len(phrase))
+                out[d].ranges.append(place)
+                out[d].items.update(items)
+                if len(phrase) < windows.size:
+                    out[d].near.append(place)
+                    out[d].near_items.update(items)
+        if len(phrase) == windows.size:
+            found = index.near(phrase, slack, misses)
+            for at, first, end in zip(*found.tolist()):
+                d = int(np.searchsorted(begins, first, "right")) - 1
+                out[d].near.append((max(at, first) - first, min(at + len(phrase), end) - first))
+                out[d].near_items.update(items)
     return out
 
 
@@ -166,98 +181,56 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block: int) -> lis
     return [rows.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else rows for k in range(n)]
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 10, block: int = 1_000_000, keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
-    """(id, n_words, ranges, items as strings, the columns named in ``keep``, and the text if asked for) for each document.
-
-    ``ranges`` are the hit words as ordered, disjoint [start, end).
-    """
-    held = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *held)
-    fields = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("text", T.StringType())]
-    fields += [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
-    out = T.StructType([*fields, *T.StructType.fromDDL("n_words long, ranges array<struct<s int, e int>>, items array<string>")])
-    blocks = item_blocks(items, item_col, item_text, block)
-    for number, part in enumerate(blocks):
-        sent = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
-        last = number + 1 == len(blocks) and not with_text
-        rows = rows.mapInArrow(_searcher(sent, size, len(keep), number > 0, last, to_arrow_schema(out)), out)
-    names = [F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]
-    return rows.select(F.col("id").alias(id_col), "n_words", "ranges", "items", *names, *([F.col("text")] if with_text else []))
-
-
-def _searcher(sent, size: int, n_kept: int, more: bool, drop_text: bool, arrow: pa.Schema):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(sent.value, size)
-
-        def found(rows: pa.RecordBatch, texts: list[list[bytes]]) -> pa.RecordBatch:
-            ranges, items = [], []
-            before = zip(rows.column("ranges").to_pylist(), rows.column("items").to_pylist()) if more else [((), ())] * len(texts)
-            for (r, i), (had, held) in zip(search(windows, texts), before):
-                ranges.append([{"s": s, "e": e} for s, e in merged([*((x["s"], x["e"]) for x in had), *r])])
-                items.append(sorted({*held, *map(str, i)}))
-            text = pa.nulls(rows.num_rows, pa.string()) if drop_text else rows.column(1)
-            counts = pa.array([len(t) for t in texts], pa.int64())
-            columns = [rows.column(0), text, *(rows.column(2 + k) for k in range(n_kept)), counts, pa.array(ranges, arrow.field("ranges").type), pa.array(items, arrow.field("items").type)]
-            return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
-
-        for batch in batches:
-            start, texts, count = 0, [], 0
-            for text in batch.column(1):
-                texts.append(words(text.as_py()))
-                count += len(texts[-1])
-                if count >= SHARD:
-                    yield found(batch.slice(start, len(texts)), texts)
-                    start, texts, count = start + len(texts), [], 0
-            if texts:
-                yield found(batch.slice(start, len(texts)), texts)
-
-    return run
-
-
-#: Rows by which a shard's terms are stored; a small benchmark reads only those that may hold its terms.
+#: Parts in which a shard's terms are stored; a small benchmark reads only those that may hold its terms.
 BUCKETS = 256
+#: A row is a shard, so that the writer looks at its memory after every row.
+_WRITTEN = {"parquet.block.size": str(32 << 20), "parquet.page.size.row.check.min": "1"}
 
 
 def _bucket(word: bytes) -> int:
     return zlib.crc32(word) % BUCKETS
 
 
+def _shard(texts: list[list[bytes]]) -> tuple[bytes, list[dict]]:
+    """The documents' numbers of words, and the lists of the shard's terms by bucket."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    lengths = np.array([len(t) for t in texts], np.int32)
+    known: dict[bytes, int] = {}
+    number = known.setdefault
+    terms = np.fromiter((number(w, len(known)) for t in texts for w in t), np.int64, int(lengths.sum()))
+    place = np.arange(len(terms), dtype=np.int32) + np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+    all_words = list(known)
+    bucket = np.fromiter(map(_bucket, all_words), np.int64, len(all_words))
+    by_bucket = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(all_words), np.int64)
+    rank[by_bucket] = np.arange(len(all_words))
+    ranked = rank[terms]
+    place = place[np.argsort(ranked, kind="stable")]
+    counts = np.bincount(ranked, minlength=len(all_words)).astype(np.int32)
+    edges = np.searchsorted(bucket[by_bucket], np.arange(BUCKETS + 1)).tolist()
+    ends = np.concatenate([[0], np.cumsum(counts)])[edges].tolist()
+    parts = []
+    for k in range(BUCKETS):
+        a, z = edges[k], edges[k + 1]
+        if a < z:
+            listed = np.diff(place[ends[k] : ends[k + 1]], prepend=np.int32(0))
+            held = pack(b" ".join([all_words[i] for i in by_bucket[a:z].tolist()]))
+            parts.append({"bucket": k, "terms": held, "counts": pack(counts[a:z].tobytes()), "positions": pack(listed.tobytes())})
+    return pack(lengths.tobytes()), parts
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD) -> DataFrame:
-    """The stored index: (shard, bucket, terms, counts, positions, ids).
+    """The stored index: (shard, ids, lengths, parts), a row for each shard.
 
-    A row holds the terms of a bucket, how often each stands in the shard, and their
-    positions, term after term, as differences; all three are compressed. A shard's row
-    of bucket -1 has its documents' ids and numbers of words. A document's words are
-    followed by one empty position.
+    A part holds the terms of a bucket, how often each stands in the shard, and their
+    positions, term after term, as differences; all three are compressed. ``ids`` and
+    ``lengths`` are the documents' ids and numbers of words.
     """
-    out = T.StructType([*T.StructType.fromDDL("shard long, bucket int, terms binary, counts binary, positions binary"), T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType))])
+    ids = T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType))
+    parts = "lengths binary, parts array<struct<bucket int, terms binary, counts binary, positions binary>>"
+    out = T.StructType([T.StructField("shard", T.LongType()), ids, *T.StructType.fromDDL(parts)])
     arrow = to_arrow_schema(out)
 
-    def stored(shard: int, ids: list, texts: list[list[bytes]]) -> pa.RecordBatch:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        lengths = np.array([len(t) for t in texts], np.int32)
-        known: dict[bytes, int] = {}
-        number = known.setdefault
-        terms = np.fromiter((number(w, len(known)) for t in texts for w in t), np.int64, int(lengths.sum()))
-        place = np.arange(len(terms), dtype=np.int32) + np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
-        all_words = list(known)
-        bucket = np.fromiter(map(_bucket, all_words), np.int64, len(all_words))
-        by_bucket = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(all_words), np.int64)
-        rank[by_bucket] = np.arange(len(all_words))
-        ranked = rank[terms]
-        place = place[np.argsort(ranked, kind="stable")]
-        counts = np.bincount(ranked, minlength=len(all_words)).astype(np.int32)
-        edges = np.searchsorted(bucket[by_bucket], np.arange(BUCKETS + 1)).tolist()
-        ends = np.concatenate([[0], np.cumsum(counts)])[edges].tolist()
-        rows = [(shard, -1, b"", pack(lengths.tobytes()), b"", ids)]
-        for k in range(BUCKETS):
-            a, z = edges[k], edges[k + 1]
-            if a < z:
-                listed = np.diff(place[ends[k] : ends[k + 1]], prepend=np.int32(0))
-                rows.append((shard, k, pack(b" ".join([all_words[i] for i in by_bucket[a:z].tolist()])), pack(counts[a:z].tobytes()), pack(listed.tobytes()), []))
-        return arrow_rows(rows, arrow)
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() << 24
         ids, texts, count = [], [], 0
@@ -267,19 +240,24 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 texts.append(words(text.as_py()))
                 count += len(texts[-1]) + 1
                 if count >= shard_words:
-                    yield stored(shard, ids, texts)
+                    yield arrow_rows([(shard, ids, *_shard(texts))], arrow)
                     shard, ids, texts, count = shard + 1, [], [], 0
         if texts:
-            yield stored(shard, ids, texts)
+            yield arrow_rows([(shard, ids, *_shard(texts))], arrow)
+
+    rows = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
+    return materialise(rows.mapInArrow(run, out), "postings", **_WRITTEN)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return materialise(rows.mapInArrow(run, out), "postings")
 
+def search_index(index: DataFrame, items: DataFrame, item_col: str = "item_id", item_text: str = "text", size: int = 10, slack: int = 2, misses: int = 1, block: int = 1_000_000) -> DataFrame:
+    """(id, n_words, ranges, items, near, near_items) for each document of a stored index.
 
-def search_index(index: DataFrame, items: DataFrame, item_col: str = "item_id", item_text: str = "text", size: int = 10, block: int = 1_000_000) -> DataFrame:
-    """(id, n_words, ranges, items as strings) for each document of a stored index."""
-    kind = index.schema["ids"].dataType.elementType
-    out = T.StructType([*T.StructType.fromDDL("shard long, place int"), T.StructField("id", kind), *T.StructType.fromDDL("n_words long, ranges array<struct<s int, e int>>, items array<string>")])
+    ``ranges`` and ``near`` are the words hit by phrases and by proximity matches as ordered,
+    disjoint [start, end); the items are strings, in order.
+    """
+    spots = "array<struct<s int, e int>>"
+    found_in = f"n_words long, ranges {spots}, items array<string>, near {spots}, near_items array<string>"
+    out = T.StructType([*T.StructType.fromDDL("shard long, place int"), T.StructField("id", index.schema["ids"].dataType.elementType), *T.StructType.fromDDL(found_in)])
     arrow = to_arrow_schema(out)
     found = None
     blocks = item_blocks(items, item_col, item_text, block)
@@ -287,13 +265,22 @@ def search_index(index: DataFrame, items: DataFrame, item_col: str = "item_id",
         asked = [tuple(r) for r in part.collect()]
         sent = index.sparkSession.sparkContext.broadcast(asked)
         needed = sorted({_bucket(w) for _, text in asked for w in words(text)})
-        rows = index.where(F.col("bucket").isin(-1, *needed)) if len(needed) < BUCKETS else index
-        hits = rows.groupBy("shard").applyInArrow(_shard_searcher(sent, size, arrow), out)
+        parts = F.filter("parts", lambda x: x["bucket"].isin(needed)) if len(needed) < BUCKETS else F.col("parts")  # noqa: B023
+        hits = index.select("shard", "ids", "lengths", parts.alias("parts")).mapInArrow(_shard_searcher(sent, size, slack, misses, arrow), out)
+        if len(blocks) > 1:
+            hits = materialise(hits, "hits")
+            sent.unpersist()
         found = hits if found is None else found.unionAll(hits)
     if len(blocks) > 1:
-        both = found.groupBy("shard", "place").agg(F.first("id").alias("id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("items")).alias("items"))
-        found = both.withColumn("ranges", _merged_ranges(F.array_sort("ranges"))).withColumn("items", F.array_sort(F.array_distinct("items")))
-    return found.select("id", "n_words", "ranges", "items")
+        both = found.groupBy("shard", "place").agg(
+            F.first("id").alias("id"), F.max("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("ranges", "items", "near", "near_items"))
+        )
+        for c in ("ranges", "near"):
+            both = both.withColumn(c, _merged_ranges(F.array_sort(c)))
+        for c in ("items", "near_items"):
+            both = both.withColumn(c, F.array_sort(F.array_distinct(c)))
+        found = both
+    return found.select("id", "n_words", "ranges", "items", "near", "near_items")
 
 
 def _merged_ranges(ranges):
@@ -306,47 +293,66 @@ def _merged_ranges(ranges):
     return F.aggregate(ranges, F.slice(ranges, 1, 0), step)
 
 
-def _shard_searcher(sent, size: int, arrow: pa.Schema):
-    def run(shard: pa.Table) -> pa.Table:
+def _shard_searcher(sent, size: int, slack: int, misses: int, arrow: pa.Schema):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(sent.value, size)
-        lists: dict[int, np.ndarray] = {}
-        ids, lengths = [], np.zeros(0, np.int64)
         unpack = zstandard.ZstdDecompressor().decompress
-        for bucket, terms, counts, positions, held_ids in zip(*(shard.column(c).to_pylist() for c in ("bucket", "terms", "counts", "positions", "ids"))):
-            held = np.frombuffer(unpack(counts), np.int32).astype(np.int64)
-            if bucket < 0:
-                ids, lengths = held_ids, held
-                continue
-            at = np.concatenate([[0], np.cumsum(held)])
-            there = np.cumsum(np.frombuffer(unpack(positions), np.int32))
-            for n, word in enumerate(unpack(terms).split(b" ")):
-                term = windows.ids.get(word)
-                if term is not None:
-                    lists[term] = there[at[n] : at[n + 1]]
-        begins = np.concatenate([[0], np.cumsum(lengths + 1)])
-        found = _hits(windows, Index.of(lists, len(windows.ids)), begins)
-        columns = [
-            [shard.column("shard")[0].as_py()] * len(ids),
-            range(len(ids)),
-            ids,
-            lengths,
-            [[{"s": s, "e": e} for s, e in merged(r)] for r, _ in found],
-            [sorted(map(str, i)) for _, i in found],
-        ]
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+        held = lambda raw, kind=np.int32: np.frombuffer(unpack(raw), kind)
+        for b in batches:
+            for shard, ids, packed, parts in zip(*(b.column(k) for k in range(4))):
+                shard, ids, lengths = shard.as_py(), ids.as_py(), held(packed.as_py()).astype(np.int64)
+                lists: dict[int, np.ndarray] = {}
+                for x in parts.as_py():
+                    at = np.concatenate([[0], np.cumsum(held(x["counts"]), dtype=np.int64)])
+                    there = np.cumsum(held(x["positions"]), dtype=np.int64)
+                    for n, word in enumerate(unpack(x["terms"]).split(b" ")):
+                        term = windows.ids.get(word)
+                        if term is not None:
+                            lists[term] = there[at[n] : at[n + 1]]
+                found = search(windows, Index(lists, len(windows.ids), np.concatenate([[0], np.cumsum(lengths + 1)])), slack, misses)
+                spots = lambda ranges: [{"s": s, "e": e} for s, e in merged(ranges)]
+                rows = [
+                    (shard, k, i, n, spots(x.ranges), sorted(map(str, x.items)), spots(x.near), sorted(map(str, x.near_items)))
+                    for k, (i, n, x) in enumerate(zip(ids, lengths.tolist(), found))
+                ]
+                yield arrow_rows(rows, arrow)
 
     return run
 
 
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """(id_col, n_words, ranges, items, near, near_items) for each document, by an index stored for it."""
+    return search_index(build_index(docs, id_col, text_col), items, **how).withColumnRenamed("id", id_col)
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", sent: int = 1 << 20, **how) -> DataFrame:
+    """The documents without phrase and proximity matches, with all their columns.
+
+    A text alone says whether it is contaminated, so the index has its MD5 for an id and
+    the texts stay where they are: up to ``sent`` digests of contaminated texts, as
+    counted, are broadcast; more of them meet the documents in an anti-join.
+    """
+    digest = F.md5(F.coalesce(named(text_col), F.lit("")))
+    index = build_index(docs.select(digest.alias("digest"), named(text_col).alias("text")), "digest", "text")
+    found = search_index(index, items, **how).where((F.size("ranges") > 0) | (F.size("near") > 0))
+    bad = materialise(found.select(F.col("id").alias("__digest")).distinct(), "contaminated")
+    superseded(index)
+    few = bad.count() <= sent
+    kept = docs.withColumn("__digest", digest).join(F.broadcast(bad) if few else bad, "__digest", "left_anti")
+    return kept.drop("__digest")
+
+
 def digests(docs: DataFrame, items: DataFrame, size: int = 10, block: int = 1_000_000) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each document, by a stored index."""
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, near_items) for each document, by a stored index."""
     found = search_index(build_index(docs), items, size=size, block=block).withColumnRenamed("id", "doc_id")
-    hit = F.expr("aggregate(ranges, 0L, (n, x) -> n + x.e - x.s)")
+    count = lambda ranges: F.expr(f"aggregate({ranges}, 0L, (n, x) -> n + x.e - x.s)")
     return found.select(
         "doc_id",
         "n_words",
-        hit.alias("n_hit"),
+        count("ranges").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (hit > 0).alias("contaminated"),
+        (count("ranges") > 0).alias("contaminated"),
+        count("near").alias("n_near"),
+        F.array_join("near_items", ",").alias("near_items"),
     )

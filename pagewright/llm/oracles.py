@@ -4,14 +4,14 @@ from . import licenses
 
 OP4 = r"""
 with vectors as (
-  select distinct vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  select row_number() over () as number, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ),
 scored as (
-  select q.vec_id as query_id, r.vec_id, list_dot_product(q.v, r.v)::bigint as score
-  from vectors q join vectors r on q.vec_id <> r.vec_id and len(q.v) = len(r.v) where q.vec_id % 50 = 0
+  select q.number, q.vec_id as query_id, r.vec_id, list_dot_product(q.v, r.v)::bigint as score
+  from vectors q join vectors r on q.number <> r.number and len(q.v) = len(r.v) where q.vec_id % 50 = 0
 )
-select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+select query_id, row_number() over (partition by number order by score desc, vec_id)::int as rank, vec_id, score
 from scored qualify rank <= 5
 """
 
@@ -37,10 +37,37 @@ spots as (
 found as (select doc_id, k, spots.n, item_id from spots join windows on spots.phrase = windows.phrase and spots.n = windows.n),
 hits as (select doc_id, count(*) as n_hit from (select distinct doc_id, unnest(range(k, k + n)) as pos from found) group by doc_id),
 named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct doc_id, item_id::varchar as item from found) group by doc_id),
-sizes as (select doc_id, count(*) as n_words from words group by doc_id)
+sizes as (select doc_id, count(*) as n_words from words group by doc_id),
+-- proximity: of a window of ten words, nine stand within two words of their places
+whole as (select row_number() over () as number, phrase, string_split(phrase, ' ') as x from (select distinct phrase from windows where n = 10)),
+spread as (select number, j - 1 as j, x[j] as w from (select number, x, unnest(range(1, 11)) as j from whole)),
+often as (select w, count(*) as n from words group by w),
+rarest as (
+  select number, j, w from spread left join often using (w)
+  qualify row_number() over (partition by number order by coalesce(n, 0), j) <= 2
+),
+starts as (select distinct number, doc_id, pos - 1 - j + d as start from rarest join words using (w), (select unnest([-2, -1, 0, 1, 2]) as d)),
+close as (
+  select number, doc_id, start from starts join spread using (number)
+  join words using (doc_id, w) where pos - 1 between start + j - 2 and start + j + 2
+  group by number, doc_id, start having count(distinct j) >= 9
+),
+nears as (
+  select distinct doc_id, greatest(start, 0) as first, least(start + 10, n_words) as past from close join sizes using (doc_id)
+  union select doc_id, k - 1, k - 1 + n from found where n < 10
+),
+near_words as (select doc_id, count(*) as n_near from (select distinct doc_id, unnest(range(first, past)) as pos from nears) group by doc_id),
+near_named as (
+  select doc_id, string_agg(item, ',' order by item) as near_ids from (
+    select doc_id, item_id::varchar as item from close join whole using (number) join windows on whole.phrase = windows.phrase and windows.n = 10
+    union select doc_id, item_id::varchar from found where n < 10
+  ) group by doc_id
+)
 select d.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
-  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated,
+  coalesce(n_near, 0)::bigint as n_near, coalesce(near_ids, '') as near_items
 from documents d left join sizes using (doc_id) left join hits using (doc_id) left join named using (doc_id)
+  left join near_words using (doc_id) left join near_named using (doc_id)
 """
 
 OP9 = r"""
