@@ -1,22 +1,28 @@
 """Personal data: base expressions and information-theoretic sanitisation.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. The
-values found are the protected entities. A term that stands near one of them, in
-several documents with different surroundings, discloses the entity as far as the
-corpus says so: with df as numbers of documents out of N, the pointwise mutual
-information of term t and entity e, as a share of the entity's own information, is
-
-    disclosure(t, e) = 1 - log2(df(t) / df(t, e)) / log2(N / df(e))
-
-It is 1 for a term that is found only with that entity, and falls as the term is
-used elsewhere. Terms at or above ``threshold`` get spans of kind ``term``
-wherever they occur, and a sanitised text replaces every span by its kind.
-
-Scale: each pass over the documents is a map without a shuffle. What is shuffled is
-one row for each entity of a document, with the ``reach`` words on either side.
-A term needs ``support`` different surroundings, so that copies alone prove nothing. Term lists go to
-the tasks in blocks of at most ``block`` terms; a further block is a further map in
-the same stage, so no list is cut.
+values found are the protected entities. How strongly a term reveals one of them is
+estimated from the corpus, in occurrences of words: of the n(t) occurrences of term t
+among N words, k(t, e) stand within ``reach`` words of entity e, which has p(e) = n(e) / N
+of all words about it. With ``prior`` occurrences that behave like any word,
+
+    P(e | t) = (k + prior * p(e)) / (n(t) + prior)
+    disclosure(t, e) = log2(P(e | t) / p(e)) / log2(1 / p(e))
+
+The disclosure is the pointwise mutual information as a share of the entity's own
+information: 0 for a term that says nothing, 1 for one that says all. Copies prove
+nothing: inside the surroundings of e, equal surroundings count once, outside each
+occurrence counts. A term discloses an entity if its disclosure is ``threshold`` or
+more and P(e | t) is ``odds`` or more. Every entity is judged, however rare: a word seen
+once in the corpus, beside an entity seen once, reaches even odds and no more, and a word
+that stands as often elsewhere stays below. Terms that disclose get spans of kind
+``term`` wherever they occur, and a sanitised text replaces every span by its kind.
+
+Scale: each pass over the documents is a map. What is shuffled is a row for each entity
+of a document with the words about it, and word counts combined within a task. A
+term that stands nowhere but about its entity is marked from these rows, by joins; only
+terms that occur elsewhere too have to be looked for in all texts, in blocks of at most
+``block`` terms, each a job of its own, so that the driver and the tasks hold one block.
 
 Defined cases: a null or empty text has no spans and stays as it is; repeated rows
 each give a row; a null id is kept; an empty table gives an empty result; other
@@ -37,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import spans
-from ._shared import map_rows, materialise, slices
+from ._shared import map_rows, materialise, met, named, slices
 
 KINDS = ("email", "ip", "card", "phone", "term")
 MARKS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]")
@@ -104,9 +110,9 @@ def words(text: str) -> list[bytes]:
     return text.encode().translate(_TO_WORDS).split()
 
 
-def surroundings(text: str | None, reach: int) -> dict[str, list[str]]:
-    """For each entity of a text, the terms within ``reach`` words of it, outside all base spans."""
-    found = base_spans(text)
+def surroundings(text: str | None, reach: int, found: list[tuple[int, int, int]] | None = None) -> dict[str, list[tuple[str, int, int]]]:
+    """For each entity of a text, the words within ``reach`` words of it, outside all base spans: (term, start, end) in order."""
+    found = base_spans(text) if found is None else found
     if not found:
         return {}
     taken = sorted((s, e) for _, s, e in found)
@@ -117,59 +123,75 @@ def surroundings(text: str | None, reach: int) -> dict[str, list[str]]:
             k += 1
         if m.start() >= until:
             starts.append(m.start())
-            terms.append(m[0].encode().lower().decode())
-    near: dict[str, set[str]] = {}
+            terms.append((m[0].encode().lower().decode(), m.start(), m.end()))
+    near: dict[str, set[int]] = {}
     for span in found:
         i = bisect_left(starts, span[1])
-        near.setdefault(entity(text, span), set()).update(terms[max(0, i - reach) : i + reach])
-    return {e: sorted(t) for e, t in near.items()}
+        near.setdefault(entity(text, span), set()).update(range(max(0, i - reach), min(i + reach, len(terms))))
+    return {e: [terms[i] for i in sorted(at)] for e, at in near.items()}
+
+
+def word_counts(docs: DataFrame, text_col: str, counted: int = 300_000) -> DataFrame:
+    """(term, n) over all texts; a task hands on what it has counted at ``counted`` words."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[bytes] = Counter()
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(held.values(), pa.int64())], names=["term", "n"])
+        for b in slices(batches):
+            for text in b.column(0).to_pylist():
+                if text:
+                    held.update(words(text))
+                if len(held) >= counted:
+                    yield flush()
+                    held.clear()
+        yield flush()
 
+    return docs.select(named(text_col).alias("text")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
-def _blocks(terms: DataFrame, block: int) -> list[frozenset[bytes]]:
-    """The terms in sets of about ``block`` at most, dealt by hash."""
-    n = -(-terms.count() // block)
-    return [frozenset(r[0].encode() for r in terms.where(F.pmod(F.xxhash64("term"), F.lit(n)) == k).collect()) for k in range(n)]
 
+def entities(docs: DataFrame, text_col: str, reach: int) -> DataFrame:
+    """(key, entity, place, terms array<struct<term, s, e>>), a row for each entity of a text; a written table.
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", reach: int = 8, support: int = 3, threshold: float = 0.8, block: int = 200_000) -> DataFrame:
-    """(term, entity, joint, df, disclosure) at or above the threshold."""
-    texts = docs.select(F.col(text_col).alias("text"))
+    ``key`` is the text's MD5, ``place`` stands for the words about the entity.
+    """
 
     def near():
-        def each(text):
-            return [(e, xxhash.xxh64_intdigest("\x1f".join(t)) >> 1, t) for e, t in surroundings(text, reach).items()]
+        def each(key, text):
+            out = []
+            for e, found in surroundings(text, reach).items():
+                place = xxhash.xxh64_intdigest("\x1f".join(t for t, _, _ in found)) >> 1
+                out.append((key, e, place, [{"term": t, "s": s, "e": z} for t, s, z in found]))
+            return out
 
         return each
 
-    found = materialise(map_rows(texts, "entity string, place long, terms array<string>", near), "near")
-    total = docs.count()
-    placed = found.groupBy("entity", "place").agg(F.first("terms").alias("terms"), F.count("*").alias("copies"))
-    often = placed.groupBy("entity").agg(F.count("*").alias("places"), F.sum("copies").alias("df_entity")).where(F.col("places") >= support)
-    pairs = placed.join(often, "entity").select("entity", "df_entity", "copies", F.explode("terms").alias("term"))
-    together = pairs.groupBy("entity", "df_entity", "term").agg(F.count("*").alias("places"), F.sum("copies").alias("joint"))
-    pairs = materialise(together.where(F.col("places") >= support).drop("places"), "pairs")
-    counted = None
-    spark = docs.sparkSession
-    for terms in _blocks(pairs.select("term").distinct(), block):
-        sent = spark.sparkContext.broadcast(terms)
-
-        def count(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            held: Counter[bytes] = Counter()  # no more than the block's terms
-            for b in slices(batches):
-                for text in b.column(0).to_pylist():
-                    if text:
-                        held.update(sent.value.intersection(words(text)))
-            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in held], pa.string()), pa.array(held.values(), pa.int64())], names=["term", "n"])
-
-        part = texts.mapInArrow(count, "term string, n long")
-        counted = part if counted is None else counted.unionAll(part)
-    if counted is None:
-        return pairs.select("term", "entity", "joint", F.lit(0).cast("long").alias("df"), F.lit(0.0).alias("disclosure"))
-    df = counted.groupBy("term").agg(F.sum("n").alias("df"))
-    n = F.lit(float(total))
-    share = F.when(F.col("df_entity") < n, 1 - F.log2(F.col("df") / F.col("joint")) / F.log2(n / F.col("df_entity"))).otherwise(0.0)
-    found = pairs.join(df, "term").select("term", "entity", "joint", "df", share.alias("disclosure")).where(F.col("disclosure") >= threshold)
-    return materialise(found, "terms")
+    texts = docs.select(F.md5(named(text_col)).alias("key"), named(text_col).alias("text")).where("text is not null")
+    return materialise(map_rows(texts, "key string, entity string, place long, terms array<struct<term string, s int, e int>>", near), "near")
+
+
+def disclosing_terms(docs: DataFrame, text_col: str = "text", reach: int = 8, threshold: float = 0.8, odds: float = 0.5, prior: float = 1.0, near: DataFrame | None = None) -> DataFrame:
+    """(term, entity, places, joint, n, disclosure): the terms that disclose an entity, as a written table.
+
+    ``joint`` counts a term's occurrences about the entity, ``places`` those in different
+    surroundings, ``n`` all in the corpus.
+    """
+    near = entities(docs, text_col, reach) if near is None else near
+    counts = materialise(word_counts(docs, text_col), "words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    # equal surroundings of an entity are one place
+    placed = near.groupBy("entity", "place").agg(F.first(F.transform("terms", lambda x: x["term"])).alias("terms"), F.count("*").alias("copies"))
+    pairs = placed.select("entity", "copies", F.explode("terms").alias("term"))
+    together = materialise(pairs.groupBy("entity", "term").agg(F.count("*").alias("places"), F.sum("copies").alias("joint")), "pairs")
+    about = materialise(together.groupBy("entity").agg(F.sum("places").alias("about"), F.count("*").alias("pairs")), "about")
+    often = together.groupBy("term").agg(F.count("*").alias("pairs"))
+    known = materialise(counts.join(often, "term"), "known")
+    both = met(met(together, about, "entity", "pairs"), known, "term", "pairs")
+    share = F.col("about") / F.lit(float(max(total, 1)))
+    seen = F.col("places") + F.col("n") - F.col("joint")  # each place once, and all occurrences elsewhere
+    chance = (F.col("places") + F.lit(prior) * share) / (seen + F.lit(prior))
+    disclosure = F.when(share < 1, F.log2(chance / share) / F.log2(1 / share)).otherwise(0.0)
+    found = both.withColumn("chance", chance).withColumn("disclosure", disclosure).where((F.col("disclosure") >= threshold) & (F.col("chance") >= odds))
+    return materialise(found.select("term", "entity", "places", "joint", "n", "disclosure"), "terms")
 
 
 def term_spans(text: str, terms: frozenset[bytes], taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -186,38 +208,74 @@ def term_spans(text: str, terms: frozenset[bytes], taken: list[tuple[int, int, i
     return out
 
 
+_SPANS = "array<struct<k int, s int, e int>>"
+_packed = lambda found: [{"k": k, "s": s, "e": e} for k, s, e in found]
+
+
+def _confined(near: DataFrame, terms: DataFrame) -> DataFrame:
+    """(key, more): by text, the spans of terms that occur about their entity only; a written table."""
+    alone = terms.where("n = joint").select("entity", "term")
+    spots = near.select("key", "entity", F.explode("terms").alias("x")).select("key", "entity", "x.term", "x.s", "x.e")
+    # the pairs are rare: a hot entity has few terms that stand nowhere else
+    spans_ = spots.join(alone, ["entity", "term"]).select("key", F.struct(F.lit(BASE).alias("k"), "s", "e").alias("span"))
+    return materialise(spans_.groupBy("key").agg(F.array_sort(F.collect_set("span")).alias("more")), "confined")
+
+
 def _scanned(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame, block: int, with_text: bool) -> DataFrame:
-    """(id, text, found array of kind, start, end) by the base kinds and the terms; without text it is null."""
-    ddl = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("text string, found array<struct<k int, s int, e int>>")])
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    packed = lambda found: [{"k": k, "s": s, "e": e} for k, s, e in found]
-    blocks = _blocks(terms.select("term").distinct(), block) or [frozenset()]
-    for number, held in enumerate(blocks):
+    """(id, key, text, found array of kind, start, end) by the base kinds and the terms that occur anywhere; without ``with_text`` text is null.
+
+    ``key`` is the text's MD5, or null where no base span was found.
+    """
+    ddl = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL(f"key string, text string, found {_SPANS}")])
+    rows = docs.select(named(id_col).alias("id"), F.md5(named(text_col)).alias("key"), named(text_col).alias("text"))
+    anywhere = terms.where("n > joint").select("term").distinct()
+    n = max(1, -(-anywhere.count() // block))
+    for number in range(n):
+        held = frozenset(r[0].encode() for r in anywhere.where(F.pmod(F.xxhash64("term"), F.lit(n)) == number).collect())
         sent = docs.sparkSession.sparkContext.broadcast(held)
-
-        keep = with_text or number + 1 < len(blocks)
+        keep = with_text or number + 1 < n
 
         def first(sent=sent, keep=keep):
-            def each(i, text):
+            def each(i, key, text):
                 base = base_spans(text)
-                return [(i, text if keep else None, packed(base + (term_spans(text, sent.value, base) if text and sent.value else [])))]
+                more = term_spans(text, sent.value, base) if text and sent.value else []
+                return [(i, key if base else None, text if keep else None, _packed(base + more))]
 
             return each
 
         def more(sent=sent, keep=keep):
-            def each(i, text, found):
+            def each(i, key, text, found):
                 base = [(x["k"], x["s"], x["e"]) for x in found if x["k"] < BASE]
-                return [(i, text if keep else None, found + packed(term_spans(text, sent.value, base) if text else []))]
+                return [(i, key, text if keep else None, found + _packed(term_spans(text, sent.value, base) if text else []))]
 
             return each
 
         rows = map_rows(rows, ddl, more if number else first, 512)
+        if number + 1 < n:
+            rows = materialise(rows, "scanned")
+            sent.unpersist()
     return rows
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 200_000, **how) -> DataFrame:
+def spans_of(docs: DataFrame, id_col: str, text_col: str, block: int, reach: int = 8, with_text: bool = False, sent: int = 1 << 18, **how) -> DataFrame:
+    """(id, text, found): the spans of each row, those of kind ``term`` included."""
+    near = entities(docs, text_col, reach)
+    terms = disclosing_terms(docs, text_col, reach, near=near, **how)
+    more = _confined(near, terms)
+    rows = _scanned(docs, id_col, text_col, terms, block, with_text)
+    if more.count() <= sent:
+        rows = rows.join(F.broadcast(more), "key", "left")
+    else:  # only rows with personal data have a key; those without stay where they are
+        rows = materialise(rows, "spans")
+        by_key = materialise(more.join(rows.groupBy("key").agg(F.count("*").alias("rows")), "key"), "by-key")
+        kept = rows.join(more.select("key"), "key", "left_semi")
+        rest = rows.where("key is null").unionByName(rows.where("key is not null").join(more.select("key"), "key", "left_anti"))
+        rows = met(kept, by_key, "key", "rows").unionByName(rest, allowMissingColumns=True)
+    return rows.select("id", "text", F.when(F.col("more").isNotNull(), F.array_union("found", "more")).otherwise(F.col("found")).alias("found"))
+
+
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 500_000, **how) -> DataFrame:
     """(id, spans, text): the spans found and the text with each replaced by its kind's mark."""
-    terms = disclosing_terms(docs, text_col, block=block, **how)
     out = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("spans array<struct<kind string, start int, end int>>, text string")])
 
     def make():
@@ -227,12 +285,11 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
 
         return each
 
-    return map_rows(_scanned(docs, id_col, text_col, terms, block, True), out, make, 512)
+    return map_rows(spans_of(docs, id_col, text_col, block, with_text=True, **how), out, make, 512)
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 200_000, **how) -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 500_000, **how) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row of ``docs``."""
-    terms = disclosing_terms(docs, text_col, block=block, **how)
     kind = dict(docs.dtypes)[id_col]
 
     def make():
@@ -244,5 +301,5 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
 
         return each
 
-    rows = _scanned(docs, id_col, text_col, terms, block, False).select("id", "found")
+    rows = spans_of(docs, id_col, text_col, block, **how).select("id", "found")
     return map_rows(rows, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", make)
