@@ -1,19 +1,26 @@
 """Language-model scoring by a Brown class-based bigram model.
 
 A word's probability after another is that of its class after the other's class,
-times that of the word in its class. The most frequent ``clustered`` words are put
-into ``classes`` classes by the exchange algorithm: each word in turn moves to the
-class that raises the likelihood of the class bigrams most, until none moves. The
-other words belong to classes by their form, the end of a text is a class of its own,
-and so is the beginning. Transitions are smoothed with the classes' own
-probabilities, words of the form classes by one count more.
+times that of the word in its class. The most frequent words, as many as the square root
+of the training tokens, are put into classes, as many as the fourth root, by the
+exchange algorithm: each word in turn moves to the class that raises the likelihood of
+the class bigrams most, until none moves. The other words belong to classes by their form,
+the end of a text is a class of its own, and so is the beginning. Transitions are
+smoothed with the classes' own probabilities, words of the form classes by one count more.
+
+The exchange is distributed: the bigrams of words are a written table, and the words are
+dealt to groups of about ``GROUP`` bigrams. A round sends every group the classes of all
+words; a group exchanges its own words one after the other, with exact counts of what
+its moves change among them, and takes the other groups' classes as they were. The class
+bigrams are counted anew after each round, and the best round's classes are kept. One
+group is the algorithm as it is told.
 
 All training texts are counted. What grows with the corpus stays distributed: counts
-of words are combined within a task, shuffled by word, and written. What tasks get is
-bounded by parameters: the ``head`` most frequent words with their counts, and the
-bigrams of ``clustered`` words and classes, which the exchange works on. Words beyond
-the head, however many, meet their counts in a join, as sums by document, so every
-count is exact. No key of that join is frequent, since frequent words are in the head.
+of words are combined within a task, shuffled by word, and written, and so are bigrams.
+What tasks get is bounded by parameters: the ``head`` most frequent words with their
+counts and classes, and the class bigrams. Words beyond the head, however many, meet
+their counts in a join, as sums by document, so every count is exact. No key of that join
+is frequent, since frequent words are in the head.
 
 Defined cases: a null or empty text has the end token only; repeated rows each count
 and each give a row; a null id counts as the empty text where rows are split; without
@@ -42,6 +49,8 @@ FORMS = 1 + 4 * (len(LENGTHS) + 1)
 _DIGITS = frozenset(b"0123456789")
 #: Words that a task counts before it hands them on.
 COUNTED = 300_000
+#: Bigrams of which a group of words is exchanged in a task.
+GROUP = 2_000_000
 #: Parts of a doubling, by which the head is cut off.
 PER_DOUBLING = 8
 
@@ -108,100 +117,216 @@ class Head:
         return out
 
 
-def bigram_counts(docs: DataFrame, text_col: str, sent) -> np.ndarray:
-    """How often a unit follows another, over all texts."""
+def bigram_counts(docs: DataFrame, text_col: str, sent) -> DataFrame:
+    """(a, b, n): how often unit b follows unit a, over all texts; a written table."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = sent.value
-        total = np.zeros(head.units**2, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            codes, place = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+            return codes, np.bincount(place, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+
+        parts, count, size = [], 0, 0
+
+        def read() -> None:
+            codes, n = np.unique(np.concatenate(parts), return_counts=True)
+            held.append((codes, n))
+            if len(held) >= 8:
+                held[:] = [summed()]
+
         for b in slices(batches):
-            parts, count = [], 0
             for text in b.column(0).to_pylist():
                 tokens = words(text)
                 s = head.sequence(tokens, head.places(tokens)).astype(np.int64)
                 parts.append(s[:-1] * head.units + s[1:])
                 count += len(s)
                 if count > 1 << 20:
-                    total += np.bincount(np.concatenate(parts), minlength=len(total))
+                    read()
                     parts, count = [], 0
-            if parts:
-                total += np.bincount(np.concatenate(parts), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["code", "n"])
+                    size = sum(len(c) for c, _ in held)
+            if size > 1 << 22:  # handed on before it grows further
+                yield _coded(*summed(), head.units)
+                held.clear()
+                size = 0
+        if parts:
+            read()
+        if held:
+            yield _coded(*summed(), head.units)
+
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "a int, b int, n long")
+    return materialise(found.groupBy("a", "b").agg(F.sum("n").alias("n")), "bigrams")
 
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    units = sent.value.units
-    out = np.zeros(units**2, np.int64)
-    out[found.column("code").to_numpy()] = found.column("n").to_numpy()
-    return out.reshape(units, units)
+
+def _coded(codes: np.ndarray, n: np.ndarray, units: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(codes // units, pa.int32()), pa.array(codes % units, pa.int32()), pa.array(n, pa.int64())], names=["a", "b", "n"])
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(bigrams: np.ndarray, clustered: int, classes: int, rounds: int = 20) -> np.ndarray:
-    """The class of each unit; units beyond the clustered words keep one of their own.
+def likelihood(joint: np.ndarray) -> float:
+    """Of the class bigrams, but for what no exchange changes."""
+    return float(_xlogx(joint).sum() - _xlogx(joint.sum(axis=0)).sum() - _xlogx(joint.sum(axis=1)).sum())
 
-    Words begin in classes by rank. A round visits the words by rank and moves each to
-    its best class, the first of equals, so that the result depends on counts only.
-    """
-    units = len(bigrams)
+
+def first_classes(units: int, clustered: int, classes: int) -> np.ndarray:
+    """Words in classes by rank; units beyond the clustered words have one of their own."""
     classes = max(1, min(classes, clustered))
-    of = np.array([k % classes if k < clustered else classes + k - clustered for k in range(units)])
-    n_classes = classes + units - clustered
-    pick = np.zeros((units, n_classes))
-    pick[np.arange(units), of] = 1
-    left, right = bigrams.astype(float).T @ pick, bigrams.astype(float) @ pick  # of each unit: by class before it, after it
-    joint = pick.T @ bigrams @ pick
-    own = np.diag(bigrams).astype(float)
-    for _ in range(rounds):
-        moved = 0
-        for w in range(clustered):
-            g = of[w]
-            before, after = left[w].copy(), right[w].copy()
-            before[g] -= own[w]  # its own following itself is counted apart
-            after[g] -= own[w]
+    return np.array([k % classes if k < clustered else classes + k - clustered for k in range(units)], np.int32)
+
+
+class Group:
+    """Some words with the bigrams that they are part of, and their exchange."""
+
+    def __init__(self, mine: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, of: np.ndarray, classes: int):
+        """``mine`` are the words by rank; ``a``, ``b`` and ``n`` all bigrams with one of them."""
+        self.mine, self.of, self.classes = mine, of.copy(), classes
+        place = np.full(len(of), -1, np.int64)
+        place[mine] = np.arange(len(mine))
+        n_classes = int(of.max()) + 1
+        n = n.astype(float)
+        self.left, self.right, self.own = (np.zeros((len(mine), n_classes)), np.zeros((len(mine), n_classes)), np.zeros(len(mine)))
+        pa_, pb = place[a], place[b]
+        np.add.at(self.right, (pa_[pa_ >= 0], of[b[pa_ >= 0]]), n[pa_ >= 0])
+        np.add.at(self.left, (pb[pb >= 0], of[a[pb >= 0]]), n[pb >= 0])
+        both = (pa_ >= 0) & (pb >= 0)
+        same = both & (a == b)
+        np.add.at(self.own, pa_[same], n[same])
+        self.after, self.before = self._lists(pa_[both], pb[both], n[both]), self._lists(pb[both], pa_[both], n[both])
+
+    def _lists(self, one: np.ndarray, other: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        order = np.argsort(one, kind="stable")
+        edges = np.searchsorted(one[order], np.arange(len(self.mine) + 1))
+        return [(other[order[i:j]], n[order[i:j]]) for i, j in zip(edges, edges[1:])]
+
+    def exchange(self, joint: np.ndarray) -> int:
+        """Moves each word to its best class, the first of equals; the number of words that moved."""
+        joint, classes, moved = joint.astype(float).copy(), self.classes, 0
+        total_l, total_r = joint.sum(axis=0), joint.sum(axis=1)
+        for k, w in enumerate(self.mine.tolist()):
+            g, own = int(self.of[w]), self.own[k]
+            before, after = self.left[k].copy(), self.right[k].copy()
+            before[g] -= own  # its own following itself is counted apart
+            after[g] -= own
             joint[:, g] -= before
             joint[g, :] -= after
-            joint[g, g] -= own[w]
-            inner = joint[:classes, :classes].diagonal()
-            row, column = joint[:classes], joint[:, :classes].T
-            gain = (_xlogx(column + before) - _xlogx(column)).sum(axis=1) + (_xlogx(row + after) - _xlogx(row)).sum(axis=1)
-            k = np.arange(classes)
+            joint[g, g] -= own
+            n_before, n_after = before.sum(), after.sum()
+            total_l -= after
+            total_r -= before
+            total_l[g] -= n_before + own
+            total_r[g] -= n_after + own
+            inner = joint.diagonal()[:classes].copy()
+            x, y = np.flatnonzero(before), np.flatnonzero(after)
+            column, row = joint[x, :classes].T, joint[:classes, y]
+            gain = (_xlogx(column + before[x]) - _xlogx(column)).sum(axis=1) + (_xlogx(row + after[y]) - _xlogx(row)).sum(axis=1)
+            b, a = before[:classes], after[:classes]
             # the cell of a class with itself takes both at once
-            gain -= _xlogx(inner + before[k]) + _xlogx(inner + after[k]) - 2 * _xlogx(inner)
-            gain += _xlogx(inner + before[k] + after[k] + own[w]) - _xlogx(inner)
-            size_l, size_r = joint.sum(axis=0)[:classes] + after[k], joint.sum(axis=1)[:classes] + before[k]
-            gain -= _xlogx(size_l + before.sum() + own[w]) - _xlogx(size_l) + _xlogx(size_r + after.sum() + own[w]) - _xlogx(size_r)
+            gain += _xlogx(inner + b + a + own) + _xlogx(inner) - _xlogx(inner + b) - _xlogx(inner + a)
+            size_l, size_r = total_l[:classes] + a, total_r[:classes] + b
+            gain -= _xlogx(size_l + n_before + own) - _xlogx(size_l) + _xlogx(size_r + n_after + own) - _xlogx(size_r)
             h = int(np.argmax(gain))
             if gain[h] <= gain[g] + 1e-9 * (1 + abs(gain[g])):
                 h = g
             joint[:, h] += before
             joint[h, :] += after
-            joint[h, h] += own[w]
+            joint[h, h] += own
+            total_l += after
+            total_r += before
+            total_l[h] += n_before + own
+            total_r[h] += n_after + own
             if h != g:
                 moved += 1
-                of[w] = h
-                left[:, g] -= bigrams[w]
-                left[:, h] += bigrams[w]
-                right[:, g] -= bigrams[:, w]
-                right[:, h] += bigrams[:, w]
+                self.of[w] = h
+                for at, n, counts in ((*self.after[k], self.left), (*self.before[k], self.right)):
+                    np.add.at(counts, (at, g), -n)
+                    np.add.at(counts, (at, h), n)
+        return moved
+
+
+def joint_counts(bigrams: np.ndarray, of: np.ndarray) -> np.ndarray:
+    n = int(of.max()) + 1
+    joint = np.zeros((n, n))
+    np.add.at(joint, (of[:, None].repeat(len(of), 1), of[None, :].repeat(len(of), 0)), bigrams)
+    return joint
+
+
+def exchange(bigrams: np.ndarray, clustered: int, classes: int, rounds: int = 20) -> np.ndarray:
+    """The class of each unit of a dense table of bigrams, with all words in one group."""
+    of = first_classes(len(bigrams), clustered, classes)
+    a, b = np.nonzero(bigrams)
+    for _ in range(rounds):
+        group = Group(np.arange(clustered), a, b, bigrams[a, b], of, max(1, min(classes, clustered)))
+        moved, of = group.exchange(joint_counts(bigrams, of)), group.of
         if not moved:
             break
     return of
 
 
+def class_bigrams(bigrams: DataFrame, of: np.ndarray) -> np.ndarray:
+    """The class bigrams of a table of bigrams."""
+    n = int(of.max()) + 1
+    sent = bigrams.sparkSession.sparkContext.broadcast(of)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n * n, np.int64)
+        for x in batches:
+            code = sent.value[x.column(0).to_numpy()].astype(np.int64) * n + sent.value[x.column(1).to_numpy()]
+            np.add.at(total, code, x.column(2).to_numpy())
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["code", "n"])
+
+    found = bigrams.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(n * n)
+    out[found.column("code").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(n, n)
+
+
+def _exchanged(sent, clustered: int, classes: int, groups: int):
+    def run(rows: pa.Table) -> pa.Table:
+        known, joint = sent.value
+        mine = np.arange(rows.column("g")[0].as_py(), clustered, groups)
+        held = Group(mine, *(rows.column(c).to_numpy() for c in ("a", "b", "n")), known, classes)
+        held.exchange(joint)
+        return pa.table([pa.array(mine, pa.int32()), pa.array(held.of[mine], pa.int32())], names=["word", "class"])
+
+    return run
+
+
+def clusters(bigrams: DataFrame, units: int, clustered: int, classes: int, rounds: int = 8, group: int = GROUP) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each unit by the distributed exchange, and the class bigrams."""
+    spark = bigrams.sparkSession
+    groups = max(1, -(-bigrams.count() // group))
+    of = first_classes(units, clustered, classes)
+    classes = max(1, min(classes, clustered))
+    best = None
+    for _ in range(rounds + 1):
+        joint = class_bigrams(bigrams, of)
+        worth = likelihood(joint)
+        if best is not None and worth <= best[0] + 1e-5 * abs(best[0]):
+            break
+        best = worth, of, joint
+        if not clustered:
+            break
+        sent = spark.sparkContext.broadcast((of, joint))
+
+        # a bigram goes to the groups of both its words
+        mine = F.filter(F.array_distinct(F.array(F.when(F.col("a") < clustered, F.col("a") % groups), F.when(F.col("b") < clustered, F.col("b") % groups))), lambda g: g.isNotNull())
+        moved = bigrams.withColumn("g", F.explode(mine)).groupBy("g").applyInArrow(_exchanged(sent, clustered, classes, groups), "word int, class int").toArrow()
+        of = of.copy()
+        of[moved.column("word").to_numpy()] = moved.column("class").to_numpy()
+    return best[1], best[2]
+
+
 class Model:
     """Log10 probabilities of transitions and of words in their classes, and of the base."""
 
-    def __init__(self, head: Head, bigrams: np.ndarray, form_tokens: np.ndarray, form_words: np.ndarray, tokens: int, distinct: int, classes: int, backoff: float = 10.0):
-        self.head = head
-        of = exchange(bigrams, head.clustered, classes)
-        self.of = of
-        n = of.max() + 1
-        joint = np.zeros((n, n))
-        np.add.at(joint, (of[:, None].repeat(len(of), 1), of[None, :].repeat(len(of), 0)), bigrams)
+    def __init__(self, head: Head, of: np.ndarray, joint: np.ndarray, form_tokens: np.ndarray, form_words: np.ndarray, tokens: int, distinct: int, backoff: float = 10.0):
+        self.head, self.of = head, of
+        n = len(joint)
         reached = np.arange(n) != of[head.begin]
         own = np.where(reached, joint.sum(axis=0) + 1, 0)
         own = own / own.sum()
@@ -234,8 +359,12 @@ class Model:
         return len(tokens) + 1, len(inside) + (ends > 0), base, score, rest
 
 
-def train(docs: DataFrame, text_col: str = "text", head: int = 1 << 18, clustered: int = 512, classes: int = 48) -> tuple[Model, DataFrame, int, int]:
-    """The model, the words beyond the head with their counts, all training tokens, and end tokens."""
+def train(docs: DataFrame, text_col: str = "text", head: int = 1 << 18, clustered: int | None = None, classes: int | None = None, rounds: int = 8, group: int = GROUP) -> tuple[Model, DataFrame, int, int]:
+    """The model, the words beyond the head with their counts, all training tokens, and end tokens.
+
+    Unless they are given, ``clustered`` is the square root of the training tokens and
+    ``classes`` the fourth root.
+    """
     counts = materialise(word_counts(docs, text_col), "words")
     n = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word") == F.lit(END), F.col("n")))).first()
     tokens, distinct, ends = (x or 0 for x in n)
@@ -247,6 +376,8 @@ def train(docs: DataFrame, text_col: str = "text", head: int = 1 << 18, clustere
             break
         cut, size = r.level, size + r.n
     inside = level >= (cut if cut is not None else 1 << 20)
+    clustered = round(tokens**0.5) if clustered is None else clustered
+    classes = max(2, round(tokens**0.25)) if classes is None else classes
     held = Head([tuple(r) for r in counts.where(inside).collect()], clustered)
     sent = docs.sparkSession.sparkContext.broadcast(held)
 
@@ -263,7 +394,8 @@ def train(docs: DataFrame, text_col: str = "text", head: int = 1 << 18, clustere
 
     by_form = {r.form: r for r in counts.mapInArrow(forms, "form int, tokens long, words long").groupBy("form").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).collect()}
     form_tokens, form_words = (np.array([by_form[k][c] if k in by_form else 0 for k in range(FORMS)]) for c in ("tokens", "words"))
-    model = Model(held, bigram_counts(docs, text_col, sent), form_tokens, form_words, tokens, distinct, classes)
+    of, joint = clusters(bigram_counts(docs, text_col, sent), held.units, held.clustered, classes, rounds, group)
+    model = Model(held, of, joint, form_tokens, form_words, tokens, distinct)
     return model, counts.where(~inside), tokens, ends
 
 

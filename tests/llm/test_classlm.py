@@ -68,6 +68,68 @@ def test_no_single_move_betters_the_classes(seed):
             assert other.max() != of.max() or likelihood(bigrams, other) <= best + 1e-6
 
 
+@pytest.mark.parametrize("group", [1 << 21, 3000])
+def test_scores_by_hand(spark, small, group):
+    """Scores from classes as they were found, by plain counting of the training texts."""
+    how = {"head": 700, "clustered": 40, "classes": 5, "group": group}
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    model, _, _, _ = C.train(docs.where(~C.held_out("doc_id")), **how)
+    words = [None] * len(model.head.place)
+    for w, k in model.head.place.items():
+        words[k] = w
+    class_of = {w: ("class", int(model.of[k])) for k, w in enumerate(words[:40])}
+    assert len(set(class_of.values())) == 5
+    name = lambda w: class_of.get(w) or ("form", C.form(w))
+    said = {i: (t or "").encode().lower().split() for i, t in rows}
+    counts, steps, sizes = Counter(), Counter(), Counter()
+    for i, tokens in said.items():
+        if not is_out(i):
+            counts.update(tokens)
+            path = ["begin", *map(name, tokens), "end"]
+            steps.update(zip(path, path[1:]))
+            sizes.update(path[:-1])
+    kinds = {("class", k) for k in range(5)} | {("form", k) for k in range(C.FORMS)} | {"end"}
+    reached = Counter()
+    for (_, b), n in steps.items():
+        reached[b] += n
+    own = {k: (reached[k] + 1) / (sum(reached.values()) + len(kinds)) for k in kinds}
+    in_class, forms, distinct = Counter(), Counter(), Counter()
+    for w, n in counts.items():
+        in_class[name(w)] += n
+        forms[name(w)] += n
+        distinct[name(w)] += 1
+    got = {r.doc_id: r.score for r in C.score(docs, **how).collect()}
+    for i, tokens in said.items():
+        path, want = ["begin", *map(name, tokens), "end"], 0.0
+        for a, b in zip(path, path[1:]):
+            want += math.log10((steps[a, b] + 10 * own[b]) / (sizes[a] + 10))
+        for w in tokens:
+            k = name(w)
+            want += math.log10(counts[w] / in_class[k] if k[0] == "class" else (counts[w] + 1) / (forms[k] + distinct[k] + 1))
+        assert abs(got[i] - want) < 1e-6 * abs(want), i
+
+
+def test_groups_better_the_classes(spark):
+    rng = np.random.default_rng(5)
+    kind = rng.integers(0, 4, 60)
+    often = rng.integers(1, 9, (4, 4)) ** 3
+    bigrams = rng.poisson(often[kind][:, kind] / 4.0)
+    a, b = np.nonzero(bigrams)
+    table = spark.createDataFrame([(int(x), int(y), int(bigrams[x, y])) for x, y in zip(a, b)], "a int, b int, n long")
+    one = C.likelihood(C.joint_counts(bigrams, C.exchange(bigrams, 57, 4)))
+    first = C.likelihood(C.joint_counts(bigrams, C.first_classes(60, 57, 4)))
+    for group in (1 << 20, len(a) // 3):
+        of, joint = C.clusters(table, 60, 57, 4, 20, group)
+        assert np.array_equal(joint, C.joint_counts(bigrams, of))
+        assert C.likelihood(joint) > first + 0.9 * (one - first)
+
+
+def test_clusters_grow_with_the_corpus(spark, small):
+    model, _, tokens, _ = C.train(spark.read.parquet(f"{small}/documents.parquet"))
+    assert model.head.clustered == round(tokens**0.5) and len(set(model.of[: model.head.clustered].tolist())) > 0.5 * tokens**0.25
+
+
 def test_probabilities_add_up(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     model, rare, _, _ = C.train(docs, head=500, clustered=50, classes=6)
