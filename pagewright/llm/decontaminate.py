@@ -69,16 +69,19 @@ class Windows:
                     phrases.setdefault(window, set()).add(item)
         self.phrases = list(phrases)
         self.items = [sorted(x, key=str) for x in phrases.values()]
-        longest = max(map(len, self.phrases), default=1)
-        # padded with the first term, which changes no minimum
-        self.matrix = np.array([[*p, *[p[0]] * (longest - len(p))] for p in self.phrases], np.int64).reshape(len(self.phrases), longest)
+        #: (numbers of the phrases, their terms as rows) by length
+        self.by_length = []
+        for n in sorted({len(p) for p in self.phrases}):
+            of = [k for k, p in enumerate(self.phrases) if len(p) == n]
+            self.by_length.append((np.array(of), np.array([self.phrases[k] for k in of], np.int64)))
 
 
 class Index:
     """Sorted lists of positions by term, of documents that begin at ``begins``.
 
     A document's words are followed by one empty position; ``begins`` ends with where a
-    further document would begin.
+    further document would begin. All lists stand one after the other in one array, each
+    position moved by its term, so that lists of many phrases are intersected at once.
     """
 
     def __init__(self, lists: dict[int, np.ndarray], n_terms: int, begins: np.ndarray):
@@ -87,44 +90,56 @@ class Index:
         self.positions = np.concatenate([none, *found]).astype(np.int64)
         self.counts = np.array([len(x) for x in found], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.counts)])
-        self.begins = begins
-
-    def postings(self, term: int) -> np.ndarray:
-        return self.positions[self.starts[term] : self.starts[term + 1]]
-
-    def phrase(self, terms: tuple[int, ...]) -> np.ndarray:
-        """Where the phrase begins: the lists moved back by offset, intersected from the rarest on."""
-        order = sorted(range(len(terms)), key=lambda k: self.counts[terms[k]])
-        found = self.postings(terms[order[0]]) - order[0]
-        for k in order[1:]:
-            if not len(found):
-                break
-            there = self.postings(terms[k])
-            place = np.searchsorted(there, found + k)
-            found = found[there[np.minimum(place, len(there) - 1)] == found + k] if len(there) else found[:0]
-        return found
-
-    def near(self, terms: tuple[int, ...], slack: int, misses: int) -> np.ndarray:
-        """(start, first and end of its document) of every place that all terms but ``misses`` are near to, as columns."""
-        order = sorted(range(len(terms)), key=lambda k: self.counts[terms[k]])
-        out = []
-        for k in order[: misses + 1]:
-            at = self.postings(terms[k])
+        self.begins, self.span = begins, int(begins[-1]) + 1
+        self.keys = self.positions + np.repeat(np.arange(n_terms, dtype=np.int64), self.counts) * self.span
+
+    def has(self, terms: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Whether each term has a position from its first to its last."""
+        at = terms * self.span
+        first, last = np.maximum(first, 0), np.minimum(last, self.span - 1)
+        return np.searchsorted(self.keys, at + last, "right") > np.searchsorted(self.keys, at + first, "left")
+
+    def _postings(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among ``terms``, position) of all positions of the terms."""
+        n = self.counts[terms]
+        of = np.repeat(np.arange(len(terms)), n)
+        before = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n
+        return of, self.positions[np.arange(len(of)) - before[of] + self.starts[terms][of]]
+
+    def phrases(self, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, start) of all occurrences: each list moved back by its offset, intersected from the rarest on."""
+        order = np.argsort(self.counts[matrix], axis=1, kind="stable")
+        rows = np.arange(len(matrix))
+        of, at = self._postings(matrix[rows, order[:, 0]])
+        at = at - order[of, 0]
+        for r in range(1, matrix.shape[1]):
+            j = order[of, r]
+            left = self.has(matrix[of, j], at + j, at + j)
+            of, at = of[left], at[left]
+        return of, at
+
+    def near(self, matrix: np.ndarray, slack: int, misses: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, start, document) of all places that all terms of a row but ``misses`` are near to."""
+        order = np.argsort(self.counts[matrix], axis=1, kind="stable")
+        rows, out = np.arange(len(matrix)), []
+
+        def left(of: np.ndarray, at: np.ndarray, d: np.ndarray, within: int) -> tuple[np.ndarray, ...]:
+            missed = np.zeros(len(of), np.int64)
+            for r in range(matrix.shape[1]):
+                j = order[of, r]
+                missed += ~self.has(matrix[of, j], np.maximum(at + j - within, self.begins[d]), np.minimum(at + j + within, self.begins[d + 1] - 2))
+                keep = missed <= misses
+                of, at, d, missed = of[keep], at[keep], d[keep], missed[keep]
+            return of, at, d
+
+        for r in range(min(misses + 1, matrix.shape[1])):
+            of, at = self._postings(matrix[rows, order[:, r]])
             d = np.searchsorted(self.begins, at, "right") - 1
+            # the term may be moved by the slack and the others too: twice the slack first, then each start
+            of, at, d = left(of, at - order[of, r], d, 2 * slack)
             shift = np.arange(-slack, slack + 1)
-            found = np.stack([(at[:, None] - k + shift).ravel(), np.repeat(self.begins[d], len(shift)), np.repeat(self.begins[d + 1] - 1, len(shift))])
-            missed = np.zeros(found.shape[1], np.int64)
-            for j in order:
-                if not found.shape[1]:
-                    break
-                there = self.postings(terms[j])
-                want = found[0] + j
-                first, last = np.maximum(want - slack, found[1]), np.minimum(want + slack, found[2] - 1)
-                missed += np.searchsorted(there, last, "right") <= np.searchsorted(there, first, "left")
-                left = missed <= misses
-                found, missed = found[:, left], missed[left]
-            out.append(found)
-        return np.unique(np.concatenate(out, axis=1), axis=1)
+            out.append(left(np.repeat(of, len(shift)), (at[:, None] + shift).ravel(), np.repeat(d, len(shift)), slack))
+        return tuple(np.unique(np.concatenate([np.stack(x) for x in out], axis=1), axis=1))
 
 
 class Hits:
@@ -136,30 +151,35 @@ class Hits:
         self.ranges, self.items, self.near, self.near_items = [], set(), [], set()
 
 
+#: Positions of rarest terms that are followed at once.
+TOGETHER = 1 << 18
+
+
 def search(windows: Windows, index: Index, slack: int = 2, misses: int = 1) -> list[Hits]:
     """For each document of a shard, what is found in it."""
     begins = index.begins
     out = [Hits() for _ in begins[1:]]
-    if not windows.phrases:
-        return out
-    absent = (index.counts[windows.matrix] == 0).sum(axis=1)
-    for p in np.flatnonzero(absent <= misses):
-        phrase, items = windows.phrases[p], windows.items[p]
-        if not absent[p]:
-            for at in index.phrase(phrase).tolist():
-                d = int(np.searchsorted(begins, at, "right")) - 1
-                place = (at - int(begins[d]), at - int(begins[d]) + len(phrase))
-                out[d].ranges.append(place)
-                out[d].items.update(items)
-                if len(phrase) < windows.size:
-                    out[d].near.append(place)
-                    out[d].near_items.update(items)
-        if len(phrase) == windows.size:
-            found = index.near(phrase, slack, misses)
-            for at, first, end in zip(*found.tolist()):
-                d = int(np.searchsorted(begins, first, "right")) - 1
-                out[d].near.append((max(at, first) - first, min(at + len(phrase), end) - first))
-                out[d].near_items.update(items)
+    for numbers, matrix in windows.by_length:
+        n, whole = matrix.shape[1], matrix.shape[1] == windows.size
+        counts = np.sort(index.counts[matrix], axis=1)
+        able = (counts == 0).sum(axis=1) <= (misses if whole else 0)
+        numbers, matrix, counts = numbers[able], matrix[able], counts[able]
+        size = np.cumsum(counts[:, : misses + 1].sum(axis=1) + 1)
+        for part in np.split(np.arange(len(numbers)), np.flatnonzero(np.diff(size // TOGETHER)) + 1) if len(numbers) else ():
+            of, at = index.phrases(matrix[part])
+            d = np.searchsorted(begins, at, "right") - 1
+            for p, start, k in zip(numbers[part[of]].tolist(), (at - begins[d]).tolist(), d.tolist()):
+                out[k].ranges.append((start, start + n))
+                out[k].items.update(windows.items[p])
+                if not whole:
+                    out[k].near.append((start, start + n))
+                    out[k].near_items.update(windows.items[p])
+            if whole:
+                of, at, d = index.near(matrix[part], slack, misses)
+                ends = begins[d + 1] - 1 - begins[d]
+                for p, start, end, k in zip(numbers[part[of]].tolist(), (at - begins[d]).tolist(), ends.tolist(), d.tolist()):
+                    out[k].near.append((max(start, 0), min(start + n, end)))
+                    out[k].near_items.update(windows.items[p])
     return out
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -28,23 +29,29 @@ def plain(docs, items, size):
 
 
 def plain_near(docs, items, size, slack=2, misses=1):
-    """(id, words near, items near) by trying every place."""
+    """(id, words near, items near) by counting, for every start, the words of a window that are near their places."""
+    windows = {}
+    for item, t in items:
+        x = words(t)
+        for k in range(max(len(x) - size, 0) + 1):
+            if x:
+                windows.setdefault(tuple(x[k : k + size]), set()).add(str(item))
     out = []
     for i, text in docs:
-        w, near, found = words(text), set(), set()
-        for item, t in items:
-            x = words(t)
-            for k in range(max(len(x) - size, 0) + 1):
-                p = x[k : k + size]
-                short = len(p) < size
-                for at in range(-size, len(w) + size) if p else ():
-                    if short:
-                        fits = at >= 0 and w[at : at + len(p)] == p
-                    else:
-                        fits = sum(word in w[max(0, at + j - slack) : max(0, at + j + slack + 1)] for j, word in enumerate(p)) >= size - misses
-                    if fits:
-                        near.update(range(max(at, 0), min(at + len(p), len(w))))
-                        found.add(str(item))
+        w, near, found, at = words(text), set(), set(), {}
+        for k, word in enumerate(w):
+            at.setdefault(word, []).append(k)
+        for p, named in windows.items():
+            if len(p) < size:
+                starts = [k for k in range(len(w) - len(p) + 1) if tuple(w[k : k + len(p)]) == p] if p[0] in at else []
+            elif sum(word not in at for word in p) > misses:
+                continue
+            else:
+                counts = Counter(s for j, word in enumerate(p) for s in {k - j + d for k in at.get(word, ()) for d in range(-slack, slack + 1)})
+                starts = [s for s, n in counts.items() if n >= size - misses]
+            for s in starts:
+                near.update(range(max(s, 0), min(s + len(p), len(w))))
+                found |= named
         out.append((i, len(near), ",".join(sorted(found))))
     return sorted(out, key=str)
 
