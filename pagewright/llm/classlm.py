@@ -47,7 +47,7 @@ END = b"\n"  # no word holds one
 LENGTHS = (4, 8)
 FORMS = 1 + 4 * (len(LENGTHS) + 1)
 _DIGITS = frozenset(b"0123456789")
-#: Words that a task counts before it hands them on.
+#: Different words, or bigrams, that a task counts before it hands them on.
 COUNTED = 300_000
 #: Bigrams of which a group of words is exchanged in a task.
 GROUP = 2_000_000
@@ -122,19 +122,11 @@ def bigram_counts(docs: DataFrame, text_col: str, sent) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = sent.value
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        parts, count = [], 0
 
-        def summed() -> tuple[np.ndarray, np.ndarray]:
-            codes, place = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            return codes, np.bincount(place, weights=np.concatenate([n for _, n in held])).astype(np.int64)
-
-        parts, count, size = [], 0, 0
-
-        def read() -> None:
+        def summed() -> pa.RecordBatch:
             codes, n = np.unique(np.concatenate(parts), return_counts=True)
-            held.append((codes, n))
-            if len(held) >= 8:
-                held[:] = [summed()]
+            return pa.RecordBatch.from_arrays([pa.array(codes // head.units, pa.int32()), pa.array(codes % head.units, pa.int32()), pa.array(n, pa.int64())], names=["a", "b", "n"])
 
         for b in slices(batches):
             for text in b.column(0).to_pylist():
@@ -142,27 +134,16 @@ def bigram_counts(docs: DataFrame, text_col: str, sent) -> DataFrame:
                 s = head.sequence(tokens, head.places(tokens)).astype(np.int64)
                 parts.append(s[:-1] * head.units + s[1:])
                 count += len(s)
-                if count > 1 << 20:
-                    read()
+                if count > COUNTED:
+                    yield summed()
                     parts, count = [], 0
-                    size = sum(len(c) for c, _ in held)
-            if size > 1 << 22:  # handed on before it grows further
-                yield _coded(*summed(), head.units)
-                held.clear()
-                size = 0
         if parts:
-            read()
-        if held:
-            yield _coded(*summed(), head.units)
+            yield summed()
 
     found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "a int, b int, n long")
     return materialise(found.groupBy("a", "b").agg(F.sum("n").alias("n")), "bigrams")
 
 
-def _coded(codes: np.ndarray, n: np.ndarray, units: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(codes // units, pa.int32()), pa.array(codes % units, pa.int32()), pa.array(n, pa.int64())], names=["a", "b", "n"])
-
-
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -296,7 +277,7 @@ def _exchanged(sent, clustered: int, classes: int, groups: int):
     return run
 
 
-def clusters(bigrams: DataFrame, units: int, clustered: int, classes: int, rounds: int = 8, group: int = GROUP) -> tuple[np.ndarray, np.ndarray]:
+def clusters(bigrams: DataFrame, units: int, clustered: int, classes: int, rounds: int = 4, group: int = GROUP) -> tuple[np.ndarray, np.ndarray]:
     """The class of each unit by the distributed exchange, and the class bigrams."""
     spark = bigrams.sparkSession
     groups = max(1, -(-bigrams.count() // group))
@@ -359,7 +340,7 @@ class Model:
         return len(tokens) + 1, len(inside) + (ends > 0), base, score, rest
 
 
-def train(docs: DataFrame, text_col: str = "text", head: int = 1 << 18, clustered: int | None = None, classes: int | None = None, rounds: int = 8, group: int = GROUP) -> tuple[Model, DataFrame, int, int]:
+def train(docs: DataFrame, text_col: str = "text", head: int = 1 << 18, clustered: int | None = None, classes: int | None = None, rounds: int = 4, group: int = GROUP) -> tuple[Model, DataFrame, int, int]:
     """The model, the words beyond the head with their counts, all training tokens, and end tokens.
 
     Unless they are given, ``clustered`` is the square root of the training tokens and
