@@ -35,7 +35,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,7 +50,7 @@ _DIGITS = frozenset(b"0123456789")
 #: Different words, or bigrams, that a task counts before it hands them on.
 COUNTED = 300_000
 #: Bigrams of which a group of words is exchanged in a task.
-GROUP = 2_000_000
+GROUP = 500_000
 #: Parts of a doubling, by which the head is cut off.
 PER_DOUBLING = 8
 
@@ -261,6 +261,7 @@ def class_bigrams(bigrams: DataFrame, of: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["code", "n"])
 
     found = bigrams.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    sent.unpersist()
     out = np.zeros(n * n)
     out[found.column("code").to_numpy()] = found.column("n").to_numpy()
     return out.reshape(n, n)
@@ -297,6 +298,7 @@ def clusters(bigrams: DataFrame, units: int, clustered: int, classes: int, round
         # a bigram goes to the groups of both its words
         mine = F.filter(F.array_distinct(F.array(F.when(F.col("a") < clustered, F.col("a") % groups), F.when(F.col("b") < clustered, F.col("b") % groups))), lambda g: g.isNotNull())
         moved = bigrams.withColumn("g", F.explode(mine)).groupBy("g").applyInArrow(_exchanged(sent, clustered, classes, groups), "word int, class int").toArrow()
+        sent.unpersist()
         of = of.copy()
         of[moved.column("word").to_numpy()] = moved.column("class").to_numpy()
     return best[1], best[2]
@@ -306,7 +308,7 @@ class Model:
     """Log10 probabilities of transitions and of words in their classes, and of the base."""
 
     def __init__(self, head: Head, of: np.ndarray, joint: np.ndarray, form_tokens: np.ndarray, form_words: np.ndarray, tokens: int, distinct: int, backoff: float = 10.0):
-        self.head, self.of = head, of
+        self.of = of
         n = len(joint)
         reached = np.arange(n) != of[head.begin]
         own = np.where(reached, joint.sum(axis=0) + 1, 0)
@@ -322,11 +324,11 @@ class Model:
         self.emit[m:] = np.log10(head.counts[m:] + 1.0) - self.beyond_form[head.unit[m:] - m]
         self.base = np.log10(head.counts + 1.0) - self.base_beyond
 
-    def score(self, text: str | None, ends: int) -> tuple[int, int, float, float, list[dict]]:
+    def score(self, head: Head, text: str | None, ends: int) -> tuple[int, int, float, float, list[dict]]:
         """(tokens, known, base, score, words beyond the head); counts of those are still to be added."""
         tokens = words(text)
-        at = self.head.places(tokens)
-        units = self.head.sequence(tokens, at)
+        at = head.places(tokens)
+        units = head.sequence(tokens, at)
         steps = self.of[units]
         inside = at[at >= 0]
         score = float(self.step[steps[:-1], steps[1:]].sum() + self.emit[inside].sum())
@@ -334,14 +336,14 @@ class Model:
         beyond = np.flatnonzero(at < 0)
         rest: list[dict] = []
         if len(beyond):
-            score -= float(self.beyond_form[units[1 + beyond] - self.head.clustered].sum())
+            score -= float(self.beyond_form[units[1 + beyond] - head.clustered].sum())
             base -= len(beyond) * self.base_beyond
             rest = [{"word": w, "n": n} for w, n in Counter([tokens[k] for k in beyond.tolist()]).items()]
         return len(tokens) + 1, len(inside) + (ends > 0), base, score, rest
 
 
-def train(docs: DataFrame, text_col: str = "text", head: int = 1 << 18, clustered: int | None = None, classes: int | None = None, rounds: int = 4, group: int = GROUP) -> tuple[Model, DataFrame, int, int]:
-    """The model, the words beyond the head with their counts, all training tokens, and end tokens.
+def train(docs: DataFrame, text_col: str = "text", head: int = 1 << 18, clustered: int | None = None, classes: int | None = None, rounds: int = 4, group: int = GROUP) -> tuple[Model, Broadcast, DataFrame, int, int]:
+    """The model, its head as it was sent to the tasks, the words beyond the head with their counts, all training tokens, and end tokens.
 
     Unless they are given, ``clustered`` is the square root of the training tokens and
     ``classes`` the fourth root.
@@ -377,7 +379,7 @@ def train(docs: DataFrame, text_col: str = "text", head: int = 1 << 18, clustere
     form_tokens, form_words = (np.array([by_form[k][c] if k in by_form else 0 for k in range(FORMS)]) for c in ("tokens", "words"))
     of, joint = clusters(bigram_counts(docs, text_col, sent), held.units, held.clustered, classes, rounds, group)
     model = Model(held, of, joint, form_tokens, form_words, tokens, distinct)
-    return model, counts.where(~inside), tokens, ends
+    return model, sent, counts.where(~inside), tokens, ends
 
 
 def held_out(id_col, parts: int = 7, part: int = 2):
@@ -390,7 +392,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how
     ``perplexity`` is 10 to the power of minus the score by token.
     """
     kind = dict(docs.dtypes)[id_col]
-    model, rare, tokens, ends = train(docs.where(~held_out(id_col)), text_col, **how)
+    model, head, rare, tokens, ends = train(docs.where(~held_out(id_col)), text_col, **how)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     out = T.StructType.fromDDL(f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<struct<word binary, n int>>")
     arrow = to_arrow_schema(out)
@@ -401,7 +403,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how
             for k in range(0, b.num_rows, 256):
                 held = []
                 for i, out_of, text in zip(*(c.to_pylist() for c in b.slice(k, 256).columns)):
-                    held.append((row, i, out_of, *sent.value.score(text, ends)))
+                    held.append((row, i, out_of, *sent.value.score(head.value, text, ends)))
                     row += 1
                 yield arrow_rows(held, arrow)
 

@@ -74,9 +74,9 @@ def test_scores_by_hand(spark, small, group):
     how = {"head": 700, "clustered": 40, "classes": 5, "group": group}
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    model, _, _, _ = C.train(docs.where(~C.held_out("doc_id")), **how)
-    words = [None] * len(model.head.place)
-    for w, k in model.head.place.items():
+    model, head, _, _, _ = C.train(docs.where(~C.held_out("doc_id")), **how)
+    words = [None] * len(head.value.place)
+    for w, k in head.value.place.items():
         words[k] = w
     class_of = {w: ("class", int(model.of[k])) for k, w in enumerate(words[:40])}
     assert len(set(class_of.values())) == 5
@@ -126,25 +126,26 @@ def test_groups_better_the_classes(spark):
 
 
 def test_clusters_grow_with_the_corpus(spark, small):
-    model, _, tokens, _ = C.train(spark.read.parquet(f"{small}/documents.parquet"))
-    assert model.head.clustered == round(tokens**0.5) and len(set(model.of[: model.head.clustered].tolist())) > 0.5 * tokens**0.25
+    model, head, _, tokens, _ = C.train(spark.read.parquet(f"{small}/documents.parquet"))
+    assert head.value.clustered == round(tokens**0.5) and len(set(model.of[: head.value.clustered].tolist())) > 0.5 * tokens**0.25
 
 
 def test_probabilities_add_up(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    model, rare, _, _ = C.train(docs, head=500, clustered=50, classes=6)
-    reached = np.arange(len(model.step)) != model.of[model.head.begin]
+    model, sent, rare, _, _ = C.train(docs, head=500, clustered=50, classes=6)
+    head = sent.value
+    reached = np.arange(len(model.step)) != model.of[head.begin]
     assert np.allclose((10.0 ** model.step[:, reached]).sum(axis=1), 1)
     # in each class: the words in the head, those beyond it, and one for all unseen
     by_class = np.zeros(len(model.step))
-    np.add.at(by_class, model.of[model.head.unit], 10.0**model.emit)
+    np.add.at(by_class, model.of[head.unit], 10.0**model.emit)
     for r in rare.collect():
         if bytes(r.word) != C.END:
             k = C.form(bytes(r.word))
-            by_class[model.of[model.head.clustered + k]] += (r.n + 1) / 10 ** model.beyond_form[k]
+            by_class[model.of[head.clustered + k]] += (r.n + 1) / 10 ** model.beyond_form[k]
     for k in range(C.FORMS):
-        by_class[model.of[model.head.clustered + k]] += 1 / 10 ** model.beyond_form[k]
-    inside = np.arange(len(by_class)) < model.of[model.head.end]
+        by_class[model.of[head.clustered + k]] += 1 / 10 ** model.beyond_form[k]
+    inside = np.arange(len(by_class)) < model.of[head.end]
     assert np.allclose(by_class[inside & (by_class > 0)], 1)
 
 
