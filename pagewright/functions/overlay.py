@@ -89,3 +89,19 @@ def minimal_edit(old: Column, new: Column) -> Column:
         F.substring(new, kept_head + 1, F.length(new) - kept_tail - kept_head).alias("replacement"),
     )
     return F.when((new != old) & (new != ""), edit)
+
+
+def replace_run(text: Column, styles: Column, start: Column, end: Column, put: Column) -> Column:
+    """struct<text, styles>: the text with one run replaced, and its style ranges moved along; those that end up empty go."""
+    delta = F.length(put) - (end - start)
+    moved = lambda i: F.when(i <= start, i).when(i < end, start + F.length(put)).otherwise(i + delta)
+    kept = F.filter(F.transform(styles, lambda s: s.withField("start", moved(s["start"])).withField("end", moved(s["end"]))), lambda s: s["end"] > s["start"])
+    return F.struct(F.concat(F.substring(text, F.lit(1), start), put, F.substring(text, end + 1, F.length(text))).alias("text"), kept.alias("styles"))
+
+
+def raised_ranges(styles: Column, length: Column) -> Column:
+    """The raised ranges of a text (array<struct<start, end>>) that lie in it and in no formula."""
+    formulas = F.filter(styles, lambda s: s["math"])
+    inside = lambda s: F.exists(formulas, lambda m: (m["start"] <= s["start"]) & (s["end"] <= m["end"]))
+    found = F.filter(styles, lambda s: s["superscript"] & ~s["math"] & (s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= length) & ~inside(s))
+    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))

@@ -1,7 +1,7 @@
 """Spelling by a lexicon table (word, freq), lower case.
 
-Every test runs on distinct words: what a word might be made of is spelled out as rows,
-and the rows meet the lexicon in an equi-join, so that neither side has to fit a task.
+Every test runs on distinct words, which meet the lexicon's words and all that is made of
+them in an equi-join, so that neither side has to fit a task.
 """
 
 from __future__ import annotations
@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import let
-
 # Parts of words, pairs of spellings, what recognition confuses, short words.
 PREFIXES = "non de un re pre anti counter over under post sub super inter multi semi co mis proto pseudo quasi neo hyper micro macro".split()
 SUFFIXES = "s es ed ing er ers ly ness ism isms ist ists ity ities al ally ation ations ize izes ized izer izers ise ised able ment ments".split()
@@ -36,27 +34,32 @@ def plain(word: Column) -> Column:
     return F.translate(F.lower(word), *STRAIGHT)
 
 
-def forms(word: Column) -> Column:
-    """What must be in the lexicon for a word to be known: itself, its possessor, or the word it is derived from."""
-    w, n = plain(word), F.length(word)
-    cut = lambda c, k: F.substring(c, F.lit(1), F.length(c) - k)
-    listed = lambda parts: F.array(*map(F.lit, parts))
-    rest = lambda p: (n >= 6) & (n - F.length(p) >= 4)
-    owner = F.when(F.endswith(w, F.lit("'s")), F.array(cut(w, 2))).when(F.endswith(w, F.lit("s'")), F.array(cut(w, 1))).otherwise(F.expr("cast(array() as array<string>)"))
-    heads = F.transform(F.filter(listed(PREFIXES), lambda p: rest(p) & F.startswith(w, p)), lambda p: F.substring(w, F.length(p) + 1, n))
+def _rules() -> list[tuple[str, str, str, int]]:
+    """How a known word is made of a word of the lexicon: (put before, cut off the end, put behind, least length of the lexicon's word)."""
+    out = [("", "", "", 0), ("", "", "'s", 0), ("", "s", "s'", 0)]
+    out += [(p, "", "", max(4, 6 - len(p))) for p in PREFIXES]
+    for s in SUFFIXES:
+        least = max(4, 6 - len(s))  # of what is left without the suffix
+        out += [("", "", s, least), ("", "e", s, least + 1), ("", "y", f"i{s}", least)]
+    return out
+
 
-    def derived(stems):
-        y = F.transform(F.filter(stems, lambda s: F.endswith(s, F.lit("i"))), lambda s: F.concat(cut(s, 1), F.lit("y")))
-        return F.concat(stems, F.transform(stems, lambda s: F.concat(s, F.lit("e"))), y)
+def derived(lexicon: DataFrame) -> DataFrame:
+    """(form): all words that are known by the lexicon: its own, their possessives, and what prefixes and suffixes make of them.
 
-    stems = F.transform(F.filter(listed(SUFFIXES), lambda s: rest(s) & F.endswith(w, s)), lambda s: F.substring(w, F.lit(1), n - F.length(s)))
-    return F.array_distinct(F.concat(F.array(w), owner, heads, let(stems, derived)))
+    A lexicon is far smaller than the words of a corpus, so its forms are spelled out rather than theirs.
+    """
+    rules = lexicon.sparkSession.createDataFrame(_rules(), "head string, cut string, tail string, least int")
+    rows = lexicon.select("word").distinct().crossJoin(F.broadcast(rules))  # of a fixed number
+    rows = rows.where((F.length("word") >= F.col("least")) & F.endswith("word", "cut"))
+    form = F.concat("head", F.substring("word", F.lit(1), F.length("word") - F.length("cut")), "tail")
+    return rows.select(form.alias("form")).distinct()
 
 
 def known(words: DataFrame, lexicon: DataFrame, column: str = "word") -> DataFrame:
-    """The distinct ``column`` values of ``words`` that are known."""
-    asked = words.select(column).distinct().select(column, F.explode(forms(F.col(column))).alias("form"))
-    return asked.join(lexicon.select(F.col("word").alias("form")).distinct(), "form", "left_semi").select(column).distinct()
+    """The distinct ``column`` values of ``words`` that are known; ``lexicon`` may have been made into its forms by ``derived``."""
+    asked = words.select(column).distinct().withColumn("form", plain(F.col(column)))
+    return asked.join(lexicon if "form" in lexicon.columns else derived(lexicon), "form", "left_semi").select(column)
 
 
 def replaced_once(word: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -84,18 +87,19 @@ def variants(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     return rows.join(known(rows, lexicon, "other"), "other", "left_semi").select("word").distinct()
 
 
-def run_together(words: DataFrame, lexicon: DataFrame, languages: tuple[str, ...] = ("en",)) -> DataFrame:
+def run_together(words: DataFrame, lexicon: DataFrame, languages: tuple[str, ...] = ("en",), forms: DataFrame | None = None) -> DataFrame:
     """(word, split, glued): two known words run together; a short part must be a common word, and then both be common."""
+    forms = derived(lexicon) if forms is None else forms
     glue = F.array(*map(F.lit, sorted({w for lang in languages for w in GLUE.get(lang, ())})))
     w = F.lower("word")
     rows = words.select("word").distinct().where(F.lower("word").rlike(r"^\p{L}{3,}$"))
-    rows = rows.join(known(rows, lexicon), "word", "left_anti")
+    rows = rows.join(known(rows, forms), "word", "left_anti")
     rows = rows.select("word", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("i"))
     rows = rows.select("word", "i", F.substring(w, F.lit(1), F.col("i")).alias("left"), F.substring(w, F.col("i") + 1, F.length("word")).alias("right"))
     short = lambda c: (F.length(c) > 2) | F.array_contains(glue, F.col(c))
     rows = rows.where(short("left") & short("right"))
     for side in ("left", "right"):
-        rows = rows.join(known(rows, lexicon, side), side, "left_semi")
+        rows = rows.join(known(rows, forms, side), side, "left_semi")
         freq = lexicon.groupBy(F.col("word").alias(side)).agg(F.max("freq").alias(f"f_{side}"))
         rows = rows.join(freq, side, "left")
     common = F.least(F.coalesce("f_left", F.lit(0.0)), F.coalesce("f_right", F.lit(0.0)))
@@ -106,13 +110,23 @@ def run_together(words: DataFrame, lexicon: DataFrame, languages: tuple[str, ...
     return rows.groupBy("word").agg(best.alias("b")).select("word", F.concat_ws(" ", "b.left", "b.right").alias("split"), "b.glued")
 
 
+def _undone(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(word, now) with one more confusion undone: the pieces of ``now`` meet the list of pairs, which is sent to the tasks."""
+    listed = rows.sparkSession.createDataFrame(pairs, "piece string, put string")
+    rows = rows.select("word", "now", F.explode(F.array(*map(F.lit, sorted({len(x) for x, _ in pairs})))).alias("n")).where("length(now) >= n")
+    rows = rows.select("word", "now", "n", F.explode(F.sequence(F.lit(1), F.length("now") - F.col("n") + 1)).alias("i"))
+    met = rows.withColumn("piece", F.substring("now", F.col("i"), F.col("n"))).join(F.broadcast(listed), "piece")
+    new = F.concat(F.substring("now", F.lit(1), F.col("i") - 1), F.col("put"), F.substring("now", F.col("i") + F.col("n"), F.length("now")))
+    return met.select("word", F.lower(new).alias("now")).where("now <> word").distinct()
+
+
 def confused(words: DataFrame, lexicon: DataFrame, rounds: int = 2, cost: float = 0.3) -> DataFrame:
     """(word, candidate, cost): known words that undoing up to ``rounds`` confusions of recognition gives."""
-    at = words.select("word").distinct().select("word", F.col("word").alias("now"))
+    now = words.select("word").distinct().select("word", F.col("word").alias("now"))
     found = None
     for k in range(1, rounds + 1):
-        at = at.select("word", F.explode(replaced_once(F.col("now"), CONFUSIONS)).alias("now")).select("word", F.lower("now").alias("now")).where("now <> word").distinct()
-        part = at.withColumn("cost", F.lit(cost * k))
+        now = _undone(now, CONFUSIONS)
+        part = now.withColumn("cost", F.lit(cost * k))
         found = part if found is None else found.unionAll(part)
     least = found.groupBy("word", F.col("now").alias("candidate")).agg(F.min("cost").alias("cost"))
     return least.join(known(least, lexicon, "candidate"), "candidate", "left_semi").select("word", "candidate", "cost")
@@ -163,6 +177,88 @@ def is_protected(token: Column, before: Column, count: Column, english: bool = T
     )
 
 
+# Ends of words that a line break cuts off, what a cut word may go on with, endings of inflection, short parts of compounds.
+ENDINGS = (
+    "tion", "tions", "sion", "sions", "ment", "ments", "ness", "ity", "ities", "ing", "ings", "ly", "ally", "ous", "ive", "ives", "ance", "ence", "ure", "ures", "ism", "ist",
+    "ists", "able", "ible", "ical", "ated", "ation", "ations", "tive", "tial", "cial", "ture", "tures",
+)
+CUT_ENDINGS = ("e", "le", "ing", "ed", "es", "er", "ion", "ions", "ity", "al", "ly", "able", "ation", "ment")
+INFLECTED = ("s", "es", "ed", "d", "ing", "ly", "er", "ers", "al", "ally", "ness", "ity", "ies", "ic", "ics")
+SHORT_HEAD = ("a", "an", "to", "of", "in", "on", "at", "is", "it", "be", "by", "or", "as", "we")
+SHORT_TAIL = ("to", "of", "in", "on", "at", "is", "it", "be", "by", "or", "as", "an", "we")
+# How sure a suggestion is, and what a candidate's rank is made of.
+GLUED_SURE, ONE_CONFUSION, TWO_CONFUSIONS, ONE_EDIT, FARTHER = 0.93, 0.97, 0.93, 0.85, 0.6
+BY_FREQUENCY, BY_DOCUMENT, ANY_EDIT = 0.08, 0.35, 9.0
+
+
+def misread(tokens: DataFrame, lexicon: DataFrame, foreign: DataFrame | None = None) -> DataFrame:
+    """The distinct ``word`` of tokens that are no known word, no word (word) of another language and no cut-off end."""
+    words = tokens.select("word").distinct().where(~F.col("word").isin(*ENDINGS))
+    words = words.join(known(words, lexicon), "word", "left_anti")
+    if foreign is not None:
+        other = words.join(foreign.select(F.col("word").alias("form")).distinct(), plain(F.col("word")) == F.col("form"), "left_semi").where(F.length("word") >= 4)
+        words = words.join(other, "word", "left_anti")
+    return words
+
+
+def as_it_is(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """The words that are right though no lexicon has them: compounds, other spellings, contractions, cut or hyphenated words."""
+    w, n = F.col("word"), F.length("word")
+    asked = words.select("word").distinct()
+    halves = asked.where(n >= 6).select("word", F.explode(F.sequence(F.lit(2), n - 2)).alias("i"))
+    halves = halves.select("word", F.substring(w, F.lit(1), F.col("i")).alias("left"), F.substring(w, F.col("i") + 1, n).alias("right"))
+    halves = halves.where(((F.length("left") > 2) | F.col("left").isin(*SHORT_HEAD)) & ((F.length("right") > 2) | F.col("right").isin(*SHORT_TAIL)))
+    for side in ("left", "right"):
+        halves = halves.join(known(halves, lexicon, side), side, "left_semi")
+    cut = asked.where(n >= 4).select("word", F.explode(F.array(*(F.concat(w, F.lit(e)) for e in CUT_ENDINGS))).alias("longer"))
+    cut = cut.join(known(cut, lexicon, "longer"), "longer", "left_semi")
+    parts = asked.where(F.contains(w, F.lit("-"))).select("word", F.explode(F.split(w, "-")).alias("part"))
+    odd = parts.where("part <> ''")
+    odd = odd.join(known(odd, lexicon, "part"), "part", "left_anti")
+    hyphened = parts.select("word").distinct().join(odd, "word", "left_anti")
+    contracted = asked.where(w.rlike("[\\p{L}\\p{N}_]['’][\\p{L}\\p{N}_]") & ~w.rlike("[0-9|!]"))
+    found = halves.select("word").unionByName(cut.select("word")).unionByName(hyphened.select("word")).unionByName(contracted)
+    return found.unionByName(variants(asked, lexicon)).distinct()
+
+
+def candidates(words: DataFrame, lexicon: DataFrame, forms: DataFrame | None = None) -> DataFrame:
+    """(word, candidate, far, by_confusion, freq): what each word may have been, without its own inflections and parts."""
+    edits = one_edit(words, lexicon).select("word", "candidate", F.lit(ANY_EDIT).alias("cost"))
+    both = confused(words, lexicon if forms is None else forms).unionByName(edits).groupBy("word", "candidate").agg(F.min("cost").alias("cost")).where("word <> candidate")
+    w, c = F.col("word"), F.col("candidate")
+    longer, shorter = F.when(F.length(w) > F.length(c), w).otherwise(c), F.when(F.length(w) > F.length(c), c).otherwise(w)
+    inflected = (F.length(w) != F.length(c)) & F.startswith(longer, shorter) & F.substring(longer, F.length(shorter) + 1, F.length(longer)).isin(*INFLECTED)
+    possessive = F.contains(c, F.lit("'")) & ~F.contains(plain(w), F.lit("'"))
+    part = F.startswith(c, w) | F.startswith(w, c) | F.endswith(c, w)
+    far = F.least(F.col("cost"), F.levenshtein(w, c).cast("double"))
+    both = both.where(~inflected & ~possessive & ~part & ((F.length(w) > 3) | (F.col("cost") < ANY_EDIT))).withColumn("far", far).where("far <= 2")
+    freq = lexicon.groupBy(F.col("word").alias("candidate")).agg(F.max("freq").alias("freq"))
+    return both.join(freq, "candidate", "left").select("word", "candidate", "far", (F.col("cost") < ANY_EDIT).alias("by_confusion"), F.coalesce("freq", F.lit(0.0)).alias("freq"))
+
+
+def rated(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The best candidate of each ``key``, with its confidence; ``rows`` are a token's candidates with ``in_doc``."""
+    from pyspark.sql import Window as W
+
+    score = F.col("far") - BY_FREQUENCY * F.log10(F.col("freq") * 1e6 + 1) - F.when(F.col("in_doc"), BY_DOCUMENT).otherwise(0.0)
+    order = W.partitionBy(*key).orderBy("score", "far", "candidate")
+    rows = rows.withColumn("score", score).withColumn("place", F.row_number().over(order)).withColumn("margin", F.lead("score").over(order) - F.col("score")).where("place = 1")
+    far, n = F.col("far"), F.length("token")
+    sure = F.when(F.col("by_confusion") & (far <= 0.3), ONE_CONFUSION).when(F.col("by_confusion") & (far <= 0.6), TWO_CONFUSIONS).when(far <= 1, ONE_EDIT).otherwise(FARTHER)
+    sure = sure - F.when((far <= 1) & (n < 5), 0.1).otherwise(0.0)
+    sure = F.when(n <= 3, F.least(sure, F.lit(0.75))).otherwise(sure)
+    sure = sure - F.when(F.col("margin") < 0.15, 0.3).when(F.col("margin") < 0.5, 0.1).otherwise(0.0) + F.when(F.col("in_doc"), 0.03).otherwise(0.0)
+    if "read" in rows.columns:  # how sure the recognition was, from 0 to 100
+        sure = sure + F.when(F.col("read") > 90, -0.15).when((F.col("read") >= 0) & (F.col("read") < 60), 0.02).otherwise(0.0)
+    return rows.withColumn("confidence", F.round(F.greatest(F.lit(0.05), F.least(F.lit(0.99), sure)), 2)).drop("place", "margin", "score")
+
+
+def in_case_of(model: Column, word: Column) -> Column:
+    """The word, in capitals as the model has them."""
+    capital = F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, F.lit(2), F.length(word)))
+    return F.when((F.upper(model) == model) & (F.lower(model) != model), F.upper(word)).when(model.rlike(r"^\p{Lu}"), capital).otherwise(word)
+
+
 def correction_status(confidence: Column, kind: Column, mode: str = "review", threshold: float = 0.9) -> Column:
     """"auto" from the threshold on, "pending" from 0.5 on if there is a review, else null; some kinds of blocks never."""
     out = F.when(kind.isin("furniture", "reference", "image", "table") | F.lit(mode == "disabled"), None).when(confidence >= threshold, "auto")

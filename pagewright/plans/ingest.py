@@ -18,10 +18,14 @@ def a25_page_metadata(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", P.metadata(F.col("html")).alias("m")).select("page_id", "m.title", "m.lang")
 
 
-@query()
+@query(r"""with bare as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<head.*?</head>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '<b>', chr(1), 'g'), '</?a(?:\s[^>]*)?>', '', 'g') as x from pages),
+pieces as (select page_id, generate_subscripts(m, 1) as nr, unnest(m) as mark, unnest(s) as raw from (select page_id, regexp_extract_all(x, '(<[/!]?[a-zA-Z0-9]+)[^>]*>[^<]*', 1) as m, regexp_extract_all(x, '<[/!]?[a-zA-Z0-9]+[^>]*>([^<]*)', 1) as s from bare)),
+said as (select page_id, nr, mark, contains(raw, chr(1)) as bold, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(raw, chr(1), ''), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) as t from pieces),
+kinds as (select page_id, nr, bold, t, case when mark = '<li' then 'list_item' when regexp_matches(mark, '^<h[1-6]$') then 'heading' else 'paragraph' end as kind, case when regexp_matches(mark, '^<h[1-6]$') then substr(mark, 3)::int else 0 end as level from said where t <> '')
+select page_id, (row_number() over (partition by page_id order by nr) - 1)::int as seq, kind, level, case kind when 'list_item' then '• ' else '' end || t as text, bold::int as n_styles, 0 as n_rows from kinds""")
 def a24_page_blocks(spark, sf_dir):
     """Blocks of pages."""
-    return P.blocks(table(spark, sf_dir, "pages"))
+    return P.blocks(table(spark, sf_dir, "pages")).select("page_id", "seq", "kind", "level", "text", F.size("styles").alias("n_styles"), F.size("cells").alias("n_rows"))
 
 
 @query(r"""with a as (select page_id, html, regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1) as body, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) as h1 from pages)

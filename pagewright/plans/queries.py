@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import citations, ingest, more, quality, spelling, structure, text  # noqa: F401  (register their queries)
+from . import citations, further, ingest, more, quality, spelling, structure, text  # noqa: F401  (register their queries)
 from .registry import QUERIES  # noqa: F401
 
 FLAGSHIP = "e02_block_language"

@@ -8,21 +8,29 @@ from ..operators import spelling as S
 from ..operators.blocks import table
 from .registry import query
 
-_LEX = r"lex as (select word, count(*)::double / (select count(*) from benchmark) as freq from (select lower(unnest(regexp_extract_all(text, '\p{L}+'))) as word from benchmark) group by word)"
+_LEX = r"lex as materialized (select word, count(*)::double / (select count(*) from benchmark) as freq from (select lower(unnest(regexp_extract_all(text, '\p{L}+'))) as word from benchmark) group by word)"
 _PRE = ", ".join(f"('{p}')" for p in S.PREFIXES)
 _SUF = ", ".join(f"('{s}')" for s in S.SUFFIXES)
 
 
 def _known(rel: str, col: str) -> str:
-    """SQL for the known ones of a relation's column: by itself, as possessive, by prefix or by suffix."""
+    """SQL for the known ones of a relation's column: by itself, as possessive, by prefix or by suffix.
+
+    The words are cut off at each of a few lengths, and the ends that were cut off, or what is left, meet lists in equi-joins.
+    """
     w = f"replace(replace(lower({col}), '’', ''''), '‘', '''')"
-    return f"""(select distinct {col} from (select {col}, {w} as w, {w} as form from {rel} union all select {col}, {w}, substr({w}, 1, length({w}) - 2) from {rel} where {w} like '%''s' union all select {col}, {w}, substr({w}, 1, length({w}) - 1) from {rel} where {w} like '%s'''
-  union all select {col}, {w}, substr({w}, length(p) + 1) from {rel}, (values {_PRE}) pre(p) where length({w}) >= 6 and starts_with({w}, p) and length({w}) - length(p) >= 4
-  union all select {col}, {w}, unnest([substr({w}, 1, length({w}) - length(s)), substr({w}, 1, length({w}) - length(s)) || 'e', case when substr({w}, length({w}) - length(s), 1) = 'i' then substr({w}, 1, length({w}) - length(s) - 1) || 'y' end]) from {rel}, (values {_SUF}) suf(s)
-    where length({w}) >= 6 and ends_with({w}, s) and length({w}) - length(s) >= 4) where form in (select word from lex))"""
+    heads, tails = sorted({len(p) for p in S.PREFIXES}), sorted({len(s) for s in S.SUFFIXES})
+    return f"""(with asked as materialized (select distinct {col} as was, {w} as w from {rel}),
+  cut as materialized (select was, w, unnest({heads}) as n from asked where length(w) >= 6),
+  ended as materialized (select was, w, unnest({tails}) as n from asked where length(w) >= 6),
+  stems as materialized (select was, substr(w, 1, length(w) - n) as stem from ended join (values {_SUF}) suf(s) on right(w, n) = s where length(w) - n >= 4 and length(s) = n),
+  forms as (select was, w as form from asked union all select was, substr(w, 1, length(w) - 2) from asked where w like '%''s' union all select was, substr(w, 1, length(w) - 1) from asked where w like '%s'''
+    union all select was, substr(w, n + 1) from cut join (values {_PRE}) pre(p) on substr(w, 1, n) = p where length(w) - n >= 4 and length(p) = n
+    union all select was, stem from stems union all select was, stem || 'e' from stems union all select was, substr(stem, 1, length(stem) - 1) || 'y' from stems where ends_with(stem, 'i'))
+  select distinct was from forms join lex on form = word)"""
 
 
-_TOKENS = r"tokens as (select distinct lower(unnest(regexp_extract_all(text, '[\p{L}]+'))) as word from documents)"
+_TOKENS = r"tokens as materialized (select distinct lower(unnest(regexp_extract_all(text, '[\p{L}]+'))) as word from documents)"
 
 
 def _lexicon(spark, sf_dir):
@@ -35,7 +43,7 @@ def _tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("w")).select(F.lower("w").alias("word")).distinct()
 
 
-@query(f"with {_LEX}, {_TOKENS} select word, word in {_known('tokens', 'word')} as known from tokens")
+@query(f"with {_LEX}, {_TOKENS}, hits as materialized {_known('tokens', 'word')} select t.word, h.was is not null as known from tokens t left join hits h on t.word = h.was")
 def c10_known_words(spark, sf_dir):
     """Which of the documents' words are known, by themselves or by their parts (C11)."""
     words = _tokens(spark, sf_dir)
@@ -70,12 +78,17 @@ _CONF = ", ".join(f"('{a}', '{b}')" for a, b in S.CONFUSIONS)
 
 
 def _confuse(rel, col):
-    return f"(select distinct word, lower(substr(c, 1, i - 1) || y || substr(c, i + length(x))) as c from (select word, c, x, y, unnest(generate_series(1, length(c) - length(x) + 1)) as i from (select word, {col} as c from {rel}), (values {_CONF}) v(x, y) where length(c) >= length(x)) where substr(c, i, length(x)) = x)"
+    """Words of a relation's column with one confusion undone: the pieces of a word that may be confused meet the list in an equi-join."""
+    sizes = sorted({len(a) for a, _ in S.CONFUSIONS})
+    return f"""(select distinct word, lower(substr(c, 1, i - 1) || y || substr(c, i + n)) as c from (
+    select word, c, n, i, substr(c, i, n) as piece from (select word, c, n, unnest(generate_series(1, length(c) - n + 1)) as i from (select word, {col} as c, unnest({sizes}) as n from {rel}) where length(c) >= n))
+  join (values {_CONF}) v(x, y) on piece = x)"""
 
 
-@query(f"""with {_LEX}, {_TOKENS}, one as materialized (select word, c from {_confuse('tokens', 'word')} where c <> word), two as (select word, c from {_confuse('one', 'c')} where c <> word),
-both_ as (select word, c, 0.3::double as cost from one union all select word, c, 0.6::double from two), least_ as (select word, c, min(cost) as cost from both_ group by all)
-select word, c as candidate, cost from least_ where c in {_known('least_', 'c')}""")
+@query(f"""with {_LEX}, {_TOKENS}, one as materialized (select word, c from {_confuse('tokens', 'word')} where c <> word), two as materialized (select word, c from {_confuse('one', 'c')} where c <> word),
+least_ as materialized (select word, c, min(cost) as cost from (select word, c, 0.3::double as cost from one union all select word, c, 0.6::double from two) group by all),
+words_ as materialized (select distinct c from least_), hits as materialized {_known('words_', 'c')}
+select word, c as candidate, cost from least_ join hits on c = was""")
 def i12_confused_words(spark, sf_dir):
     """Known words that undoing two confusions of recognition gives."""
     return S.confused(_tokens(spark, sf_dir), _lexicon(spark, sf_dir))

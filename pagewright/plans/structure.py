@@ -39,19 +39,31 @@ def e01_body_sizes(spark, sf_dir):
 _KEY = r"array_to_string(list_sort(list_filter(regexp_split_to_array(regexp_replace(lower(trim(b.text)), '[^\p{L}\p{N}_\s]|\p{Nd}', ' ', 'g'), '\s+'), lambda w: w <> '')), ' ')"
 
 
-@query(rf"""with {BLOCKS}, last as (select doc_id, max(seq) as z from blocks group by doc_id), outer_ as (select d.source as doc, b.doc_id as page, b.seq, b.text, trim(b.text) as t, case when {_KEY} = '' then '0' else {_KEY} end as key, list_filter(regexp_split_to_array(trim(b.text), '\s+'), lambda w: w <> '') as w
-  from blocks b join last l using (doc_id) join documents d using (doc_id) where b.seq = 0 or b.seq = l.z),
+_FEET = """made as (select source as doc, doc_id as page, length(text) - length(replace(text, chr(10), '')) + 1 as n, doc_id from documents),
+feet as (select doc, page, n as seq, case doc_id % 5 when 0 then '- ' || (doc_id % 400) || ' -' when 1 then 'Annals of ' || doc || ' ' || (doc_id % 50) when 2 then 'a b c d e f g h i j' when 3 then 'Vol. 3 | No. 4 | 2019' else 'no foot' end as text from made
+  union all select doc, page, n + 1, case when doc_id % 5 < 3 then 'Proceedings of the ' || doc else 'a line of its own ' || doc_id || ' words' end from made)"""
+
+
+@query(rf"""with {BLOCKS}, {_FEET}, last as (select doc_id, max(seq) as z from blocks group by doc_id),
+outer_ as (select doc, page, seq, text, trim(text) as t, case when {_KEY} = '' then '0' else {_KEY} end as key, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '') as w
+  from (select d.source as doc, b.doc_id as page, b.seq, b.text from blocks b join last l using (doc_id) join documents d using (doc_id) where b.seq = 0 or b.seq = l.z union all select doc, page, seq, text from feet) b),
 seen as (select doc, key, count(distinct page) as seen from outer_ group by all), np as (select source as doc, count(distinct doc_id) as pages from documents group by all),
 y as (select o.*, case when regexp_matches(t, '{X.LINE_CLASSES["page_number"]}') then 'page_number' when pages >= 2 and seen >= greatest(2, pages * 0.4::double) and length(t) > 2 and key <> '0' then 'repeated'
   when regexp_matches(t, '^(?:[0-9]{{1,4}}\s+\S.*|.*\S\s+[0-9]{{1,4}})$') and len(w) <= 10 and seen >= 2 then 'running_head' when len(w) >= 8 and len(list_filter(w, lambda x: length(x) = 1)) >= len(w) * 0.6::double and regexp_matches(t, '(?:(^|[^\p{{L}}\p{{N}}_])[A-Za-z0-9] ){{5,}}') then 'spaced'
   when len(regexp_extract_all(t, ' \| ')) >= 2 and regexp_matches(t, '[0-9]') and len(w) <= 16 then 'barred' end as why from outer_ o join seen using (doc, key) join np using (doc))
 select doc as doc_id, page, seq, text, why from y where why is not null""")
 def e04_furniture(spark, sf_dir):
-    """Running heads and feet where a source's documents are its pages."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("doc"), "text")
-    rows = docs.select("doc", "doc_id", F.size(F.split("text", "\n")).alias("n"), F.posexplode(F.split("text", "\n")).alias("seq", "text"))
-    y = F.when(F.col("seq") == 0, 20.0).when(F.col("seq") == F.col("n") - 1, 780.0).otherwise(400.0)
-    placed = rows.select(F.col("doc").alias("doc_id"), F.col("doc_id").alias("page"), "seq", "text", y.alias("y0"), (y + 10).alias("y1"), F.lit(800.0).alias("height"))
+    """Running heads and feet where a source's documents are its pages, each with two made-up lines at its foot."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("doc"), "text").withColumn("n", F.size(F.split("text", "\n")))
+    rows = docs.select("doc", "doc_id", "n", F.posexplode(F.split("text", "\n")).alias("seq", "text"))
+    i = F.col("doc_id") % 5
+    said = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    number = lambda m: (F.col("doc_id") % m).cast("string")
+    foot = F.when(i == 0, said("- ", number(400), " -")).when(i == 1, said("Annals of ", F.col("doc"), " ", number(50))).when(i == 2, "a b c d e f g h i j").when(i == 3, "Vol. 3 | No. 4 | 2019").otherwise("no foot")
+    under = F.when(i < 3, said("Proceedings of the ", F.col("doc"))).otherwise(said("a line of its own ", F.col("doc_id").cast("string"), " words"))
+    feet = docs.select("doc", "doc_id", "n", F.inline(F.array(F.struct(F.col("n").alias("seq"), foot.alias("text")), F.struct((F.col("n") + 1).alias("seq"), under.alias("text")))))
+    y = F.when(F.col("seq") == 0, 20.0).when(F.col("seq") >= F.col("n") - 1, 780.0).otherwise(400.0)
+    placed = rows.unionByName(feet).select(F.col("doc").alias("doc_id"), F.col("doc_id").alias("page"), "seq", "text", y.alias("y0"), (y + 10).alias("y1"), F.lit(800.0).alias("height"))
     return S.furniture(placed).withColumn("seq", F.col("seq").cast("long"))
 
 
