@@ -195,16 +195,19 @@ def detect(lines: DataFrame, known: DataFrame | None = None) -> DataFrame:
     and pages joined; levels of headings by size; the title.
     """
     from . import pages, structure
-
-    body = structure.body_size(lines, "doc_id")
-    out = structure.furniture(lines).select("doc_id", "page", "seq", F.lit("furniture").alias("off"))
-    left = lines.join(out, ["doc_id", "page", "seq"], "left_anti")
-    notes = footnote_lines(left, body).withColumn("off", F.lit("footnote"))
-    left = left.join(notes, ["doc_id", "page", "seq"], "left_anti")
+    from .blocks import kept
+
+    # what a pass leaves is written, so that the next one doesn't begin at the first again
+    lines = kept(lines)
+    body = kept(structure.body_size(lines, "doc_id"))
+    out = kept(structure.furniture(lines).select("doc_id", "page", "seq", F.lit("furniture").alias("off")))
+    left = kept(lines.join(out, ["doc_id", "page", "seq"], "left_anti"))
+    notes = kept(footnote_lines(left, body).withColumn("off", F.lit("footnote")))
+    left = kept(left.join(notes, ["doc_id", "page", "seq"], "left_anti"))
     gaps = structure.line_gap(left)
     para = pages.paragraphs(left.join(gaps, ["doc_id", "page"], "left").fillna(3.0, ["gap"]))
     grouped = left.join(para, ["doc_id", "page", "seq"]).withColumn("para", F.min("seq").over(W.partitionBy("doc_id", "page", "para")))
-    found = paragraph_stats(grouped).join(body, "doc_id")
+    found = kept(paragraph_stats(kept(grouped)).join(body, "doc_id"))
     t, big = F.col("text"), F.col("size") > F.col("body") + 0.9
     short = (F.length("text") < 120) & ~t.rlike(r"[.,;]\s*$")
     kind = (
@@ -217,10 +220,10 @@ def detect(lines: DataFrame, known: DataFrame | None = None) -> DataFrame:
     )
     blocks = found.select("doc_id", F.col("para").alias("seq"), kind.alias("kind"), "text", "size", "page")
     aside = lines.join(out.unionByName(notes.select("doc_id", "page", "seq", "off")), ["doc_id", "page", "seq"]).select("doc_id", "seq", F.col("off").alias("kind"), "text", "size", "page")
-    whole = merged(blocks.unionByName(aside), known).join(lines.select("doc_id", "seq", "page"), ["doc_id", "seq"])
+    whole = kept(merged(kept(blocks.unionByName(aside)), known).join(lines.select("doc_id", "seq", "page"), ["doc_id", "seq"]))
     sizes = whole.where("kind = 'heading'").groupBy("doc_id", "size").agg(F.min("seq").alias("first"))
     rank = sizes.withColumn("rank", F.dense_rank().over(W.partitionBy("doc_id").orderBy(F.col("size").desc()))).select("doc_id", "size", "rank", F.lit("heading").alias("kind"))
-    ranked = whole.join(rank, ["doc_id", "size", "kind"], "left")
+    ranked = kept(whole.join(rank, ["doc_id", "size", "kind"], "left"))
     title = ranked.where((F.col("rank") == 1) & (F.col("page") == F.lit(0))).groupBy("doc_id").agg(F.min("seq").alias("title"))
     ranked = ranked.join(title, "doc_id", "left")
     is_title = F.coalesce(F.col("seq") == F.col("title"), F.lit(False))
