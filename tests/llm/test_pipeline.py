@@ -5,7 +5,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline as P  # noqa: E402
-from pagewright.llm import pii, spans  # noqa: E402
+from pagewright.llm import _shared, pii, spans  # noqa: E402
 from pagewright.llm._shared import materialise  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
@@ -115,11 +115,8 @@ def test_contaminated_rows_go_together(spark, small):
     assert not left & {200, 201} and {0, 39, 100, 101, 102, None} <= left
 
 
-def test_nothing_is_left_in_the_shared_folder(spark, small, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        assert P.run(spark, small).count() > 0
-        names = sorted(p.name.rsplit("-", 1)[0] for p in next(tmp_path.iterdir()).iterdir())
-        assert names == sorted(n.replace(" ", "-") for n, _ in P.STAGES)
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_nothing_is_left_in_the_shared_folder(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(_shared, "OWN_CHECKPOINTS", str(tmp_path))
+    assert P.run(spark, small).count() > 0
+    names = sorted(p.name.rsplit("-", 1)[0] for p in next(tmp_path.iterdir()).iterdir())
+    assert names == sorted(n.replace(" ", "-") for n, _ in P.STAGES)
