@@ -68,12 +68,16 @@ def number_items(rows: DataFrame, doc: str, n_references: int | Column) -> DataF
 
 
 def notes_of_markers(marks: DataFrame, notes: DataFrame) -> DataFrame:
-    """``marks`` (doc, page, label) with the first note of their label on the page or, failing that, the next one."""
+    """``marks`` (doc, page, label) with the first note of their label on the page or, failing that, the next one.
+
+    Both joins are merges: notes made by exploding are taken for far fewer than they are, and
+    would be gathered by the driver to be broadcast.
+    """
     order = W.partitionBy("doc", "page", "label").orderBy("note")
     firsts = notes.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("doc", "page", "label", "note")
     near = firsts.select("doc", "page", "label", F.col("note").alias("here"))
     after = firsts.select("doc", (F.col("page") - 1).alias("page"), "label", F.col("note").alias("later"))
-    both = marks.join(near, ["doc", "page", "label"], "left").join(after, ["doc", "page", "label"], "left")
+    both = marks.join(near.hint("merge"), ["doc", "page", "label"], "left").join(after.hint("merge"), ["doc", "page", "label"], "left")
     return both.withColumn("note", F.coalesce("here", "later")).drop("here", "later")
 
 
