@@ -7,6 +7,9 @@ nothing is compared with all of a document.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -114,11 +117,25 @@ def popups(markers: DataFrame, references: DataFrame) -> DataFrame:
 
 
 def confidence_at(places: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """``places`` (keys, at) with the confidence of the first range (keys, start, end, confidence) that holds them, or null."""
-    held = ranges.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor((F.greatest(F.col("end") - 1, F.col("start"))) / BUCKET))))
-    asked = places.withColumn("__bucket", F.floor(F.col("at") / BUCKET))
-    hits = asked.join(held, [*keys, "__bucket"]).where("start <= at and at < end").groupBy(*keys, "at").agg(F.min_by("confidence", F.struct("start", "confidence")).alias("confidence"))
-    return places.join(hits, [*keys, "at"], "left")
+    """``places`` (keys, at) with the confidence of the first range (keys, start, end, confidence) that holds them, or null.
+
+    Of a key's ranges by start, the first that holds a place is the first that ends behind it:
+    so each range answers from the farthest end before it up to its own, ranges within
+    earlier ones answer nothing, and a place meets the last answer that begins at or before
+    it. No row is made more than once, however long the ranges are.
+    """
+    order = W.partitionBy(*keys).orderBy("start", "confidence")
+    reach = ranges.where("start < end").withColumn("__reach", F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)))
+    answers = reach.where(F.col("__reach").isNull() | (F.col("end") > F.col("__reach")))
+    answer = F.struct(F.col("end").alias("end"), F.col("confidence").alias("confidence"))
+    answers = answers.select(*keys, F.greatest("start", "__reach").alias("__at"), F.lit(0).alias("__asks"), answer.alias("__answer"))
+    asked = places.select(*keys, F.col("at").alias("__at"), F.lit(1).alias("__asks"), F.struct(*places.columns).alias("__place"))
+    both = answers.unionByName(asked, allowMissingColumns=True)
+    last = F.last("__answer", ignorenulls=True).over(W.partitionBy(*keys).orderBy("__at", "__asks").rowsBetween(W.unboundedPreceding, 0))
+    met = both.withColumn("__last", last).where("__asks = 1")
+    named = reduce(and_, (F.col(k).isNotNull() for k in keys))  # here, not above, so that ranges and places made of the same rows share their shuffle
+    held = F.when(named & (F.col("__at") < F.col("__last.end")), F.col("__last.confidence"))
+    return met.select(*(F.col("__place").getField(c).alias(c) for c in [*keys, "at", *(c for c in places.columns if c not in (*keys, "at"))]), held.alias("confidence"))
 
 
 def best_two(candidates: DataFrame) -> DataFrame:

@@ -21,8 +21,11 @@ _RN = "row_number() over (partition by l_orderkey order by l_linenumber, l_partk
 
 
 def _rows(spark, sf_dir):
-    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(order).cast("long").alias("seq"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("n"))
+    # named before the window, so that what goes on by doc_id finds the rows dealt out by it
+    named = {"l_orderkey": "doc_id", "l_partkey": "p", "l_suppkey": "s", "l_linenumber": "n", "l_extendedprice": "price"}
+    rows = table(spark, sf_dir, "lineitem").select(*(F.col(c).alias(k) for c, k in named.items()))
+    order = W.partitionBy("doc_id").orderBy("n", "p", "s", "price")
+    return rows.select("doc_id", F.row_number().over(order).cast("long").alias("seq"), "p", "s", "n")
 
 
 _BASE = f"base as (select l_orderkey as doc_id, {_RN} as seq, l_partkey as p, l_suppkey as s, l_linenumber as n from lineitem)"

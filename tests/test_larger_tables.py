@@ -18,3 +18,22 @@ def test_notes_are_not_broadcast(spark, small):
     """Notes made by exploding look small to the planner, but not to the driver that gathers them."""
     found = queries.QUERIES["d02_footnotes_of_markers"](spark, small)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_ranges_are_not_cut_into_buckets(spark):
+    import random
+
+    from pagewright.operators import links
+
+    rng = random.Random(5)
+    ranges = [(rng.choice(["a", "b", None]), s := rng.randrange(60), s + rng.choice([0, 1, 7, 30, 2_000_000_000]), float(k)) for k in range(40)]
+    ranges += [("c", 5, 9, 1.0), ("c", 0, 20, 2.0), ("c", 5, 30, None), ("c", None, 50, 3.0)]
+    places = [(d, k, at) for d in ("a", "b", "c", "d", None) for k, at in enumerate([*range(70), 1_999_999_999, None])]
+    found = links.confidence_at(spark.createDataFrame(places, "doc string, id int, at int"), spark.createDataFrame(ranges, "doc string, start int, end int, confidence double"), ["doc"])
+    plain = []
+    for d, k, at in places:
+        held = [(s, -1.0 if c is None else c) for x, s, e, c in ranges if None not in (d, at, s) and x == d and s <= at < e]
+        plain.append((d, k, at, None if not held or min(held)[1] < 0 else min(held)[1]))
+    got = [(r.doc, r.id, r.at, r.confidence) for r in found.collect()]
+    assert sorted(got, key=repr) == sorted(plain, key=repr)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
