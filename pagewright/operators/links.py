@@ -45,11 +45,11 @@ def match_references(items: DataFrame, references: DataFrame) -> DataFrame:
     """``items`` (doc_id, item) with the index of the one reference (doc_id, idx, text) each means, or -1.
 
     The surname must be a word in a reference's first 120 characters and the year be in
-    it; of several, the one that begins with the surname is meant, if it is the only one.
+    it, not as a part of a longer number; of several, the one that begins with the surname is meant, if it is the only one.
     References are joined by document and year, so only those of a year are compared.
     """
     wanted = items.withColumn("surname", C.surname(F.col("item"))).withColumn("year", C.year(F.col("item")))
-    years = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?=({C.YEAR}))"), F.lit(1)))
+    years = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?<![0-9])(?=({C.YEAR})(?![0-9]))"), F.lit(1)))
     held = references.select(F.col("doc_id").alias("ref_doc"), "idx", "text", F.explode(F.array_distinct(F.concat(years, F.transform(years, lambda y: F.regexp_replace(y, "[a-z]$", ""))))).alias("ref_year"))
     quoted = F.concat(F.lit(r"\Q"), F.col("surname"), F.lit(r"\E"))
     word = F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), quoted, F.lit(r"(?![\p{L}\p{N}_])"))

@@ -37,3 +37,15 @@ def test_long_ranges_are_not_cut_into_buckets(spark):
     got = [(r.doc, r.id, r.at, r.confidence) for r in found.collect()]
     assert sorted(got, key=repr) == sorted(plain, key=repr)
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_year_is_no_part_of_a_longer_number(spark):
+    from pyspark.sql import functions as F
+
+    from pagewright.operators import links
+
+    refs = ["Name, A. (1950). Title 19505", "Name, A. (1950). Title 11987", "Other, B. (1987a). Title 1"]
+    references = spark.createDataFrame([("d", k, t) for k, t in enumerate(refs)], "doc_id string, idx long, text string")
+    items = spark.createDataFrame([("d", i) for i in ("Name, 1950", "Name, 1987", "Other, 1987", "Other, 1987a")], "doc_id string, item string")
+    found = links.match_references(items, references.where(F.col("idx") > 0)).collect()
+    assert {r.item: r.reference for r in found} == {"Name, 1950": 1, "Name, 1987": -1, "Other, 1987": 2, "Other, 1987a": 2}
