@@ -111,21 +111,35 @@ def run_together(words: DataFrame, lexicon: DataFrame, languages: tuple[str, ...
 
 
 def _undone(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(word, now) with one more confusion undone: the pieces of ``now`` meet the list of pairs, which is sent to the tasks."""
+    """(word, now), repeats included, with one more confusion undone: the pieces of ``now`` meet the list of pairs, which is sent to the tasks."""
     listed = rows.sparkSession.createDataFrame(pairs, "piece string, put string")
     rows = rows.select("word", "now", F.explode(F.array(*map(F.lit, sorted({len(x) for x, _ in pairs})))).alias("n")).where("length(now) >= n")
     rows = rows.select("word", "now", "n", F.explode(F.sequence(F.lit(1), F.length("now") - F.col("n") + 1)).alias("i"))
     met = rows.withColumn("piece", F.substring("now", F.col("i"), F.col("n"))).join(F.broadcast(listed), "piece")
     new = F.concat(F.substring("now", F.lit(1), F.col("i") - 1), F.col("put"), F.substring("now", F.col("i") + F.col("n"), F.length("now")))
-    return met.select("word", F.lower(new).alias("now")).where("now <> word").distinct()
+    return met.select("word", F.lower(new).alias("now")).where("now <> word")
+
+
+def _before(forms: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(form): every plain text that undoing one confusion may make one of the forms of."""
+    listed = sorted({(x.lower(), y.lower()) for x, y in pairs})
+    return forms.select(F.explode(replaced_once(F.col("form"), [(y, x) for x, y in listed])).alias("form")).distinct()
 
 
 def confused(words: DataFrame, lexicon: DataFrame, rounds: int = 2, cost: float = 0.3) -> DataFrame:
-    """(word, candidate, cost): known words that undoing up to ``rounds`` confusions of recognition gives."""
+    """(word, candidate, cost): known words that undoing up to ``rounds`` confusions of recognition gives.
+
+    The texts from which a known form can still be reached are spelled out from the lexicon,
+    a step for each round that is left. Of what a round makes only those go on, so that the
+    ways of a corpus's words, most of which lead nowhere, are followed for one round only.
+    """
+    reach = [(lexicon if "form" in lexicon.columns else derived(lexicon)).select("form")]
+    for _ in range(1, rounds):
+        reach.append(reach[-1].unionByName(_before(reach[-1], CONFUSIONS)).distinct())
     now = words.select("word").distinct().select("word", F.col("word").alias("now"))
     found = None
     for k in range(1, rounds + 1):
-        now = _undone(now, CONFUSIONS)
+        now = _undone(now, CONFUSIONS).withColumn("form", plain(F.col("now"))).join(reach[rounds - k].hint("merge"), "form", "left_semi").select("word", "now").distinct()
         part = now.withColumn("cost", F.lit(cost * k))
         found = part if found is None else found.unionAll(part)
     least = found.groupBy("word", F.col("now").alias("candidate")).agg(F.min("cost").alias("cost"))

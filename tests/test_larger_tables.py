@@ -49,3 +49,14 @@ def test_a_year_is_no_part_of_a_longer_number(spark):
     items = spark.createDataFrame([("d", i) for i in ("Name, 1950", "Name, 1987", "Other, 1987", "Other, 1987a")], "doc_id string, item string")
     found = links.match_references(items, references.where(F.col("idx") > 0)).collect()
     assert {r.item: r.reference for r in found} == {"Name, 1950": 1, "Name, 1987": -1, "Other, 1987": 2, "Other, 1987a": 2}
+
+
+def test_confusions_that_lead_to_no_word_are_not_followed(spark, monkeypatch):
+    from pagewright.operators import spelling
+
+    asked, undone = [], spelling._undone
+    monkeypatch.setattr(spelling, "_undone", lambda rows, pairs: asked.append(rows) or undone(rows, pairs))
+    words = spark.createDataFrame([("rnodel",), ("rnodei",), *((f"{'linec' * 4}{k}",) for k in range(9))], "word string")
+    found = spelling.confused(words, spark.createDataFrame([("model", 1.0)], "word string, freq double"))
+    assert {(r.word, r.candidate, round(r.cost, 1)) for r in found.collect()} == {("rnodel", "model", 0.3), ("rnodei", "model", 0.6)}
+    assert {r.word for r in asked[1].collect()} == {"rnodel", "rnodei"}
