@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Iterable, Iterator
@@ -105,6 +106,15 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield b.slice(k, rows)
 
 
+def released() -> None:
+    """Gives freed memory back to the system; workers are used again, and would keep what a former stage took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not the C library that has it
+
+
 def arrow_rows(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     """A record batch of rows given as tuples."""
     columns = zip(*rows) if rows else [[] for _ in arrow]

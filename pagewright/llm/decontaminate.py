@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._shared import arrow_rows, materialise, named, superseded
+from ._shared import arrow_rows, materialise, named, released, superseded
 
 _TO_WORDS = bytes(c if c >= 0x80 or chr(c).isalnum() else 32 for c in range(256)).lower()
 #: Words that a shard holds before it is searched.
@@ -211,18 +211,27 @@ def _bucket(word: bytes) -> int:
     return zlib.crc32(word) % BUCKETS
 
 
-def _shard(texts: list[list[bytes]]) -> tuple[bytes, list[dict]]:
+class _Numbers(dict):
+    """Words numbered as they come; a shard holds each word once, and numbers in the place of its repeats."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+    def of(self, text: str | None) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words(text)), np.int32)
+
+
+def _shard(known: _Numbers, texts: list[np.ndarray]) -> tuple[bytes, list[dict]]:
     """The documents' numbers of words, and the lists of the shard's terms by bucket."""
     pack = zstandard.ZstdCompressor(level=1).compress
     lengths = np.array([len(t) for t in texts], np.int32)
-    known: dict[bytes, int] = {}
-    number = known.setdefault
-    terms = np.fromiter((number(w, len(known)) for t in texts for w in t), np.int64, int(lengths.sum()))
+    terms = np.concatenate(texts)
     place = np.arange(len(terms), dtype=np.int32) + np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
     all_words = list(known)
     bucket = np.fromiter(map(_bucket, all_words), np.int64, len(all_words))
     by_bucket = np.argsort(bucket, kind="stable")
-    rank = np.empty(len(all_words), np.int64)
+    rank = np.empty(len(all_words), np.int32)
     rank[by_bucket] = np.arange(len(all_words))
     ranked = rank[terms]
     place = place[np.argsort(ranked, kind="stable")]
@@ -253,17 +262,19 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() << 24
-        ids, texts, count = [], [], 0
+        known, ids, texts, count = _Numbers(), [], [], 0
+        released()
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1)):
                 ids.append(i)
-                texts.append(words(text.as_py()))
+                texts.append(known.of(text.as_py()))
                 count += len(texts[-1]) + 1
                 if count >= shard_words:
-                    yield arrow_rows([(shard, ids, *_shard(texts))], arrow)
-                    shard, ids, texts, count = shard + 1, [], [], 0
+                    yield arrow_rows([(shard, ids, *_shard(known, texts))], arrow)
+                    shard, known, ids, texts, count = shard + 1, _Numbers(), [], [], 0
+                    released()
         if texts:
-            yield arrow_rows([(shard, ids, *_shard(texts))], arrow)
+            yield arrow_rows([(shard, ids, *_shard(known, texts))], arrow)
 
     rows = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
     return materialise(rows.mapInArrow(run, out), "postings", **_WRITTEN)

@@ -121,3 +121,11 @@ def test_empty_tables(spark):
     assert D.without_contaminated(docs.limit(0), items).collect() == []
     r = D.digests(docs, items.limit(0)).first()
     assert (r.n_words, r.n_hit, r.n_items, r.contaminated, r.n_near, r.near_items) == (2, 0, 0, False, 0, "")
+
+
+def test_a_shard_holds_a_word_once():
+    from pagewright.llm import decontaminate
+
+    known = decontaminate._Numbers()
+    texts = [known.of(t) for t in ("a b a", None, "B c", "")]
+    assert [t.tolist() for t in texts] == [[0, 1, 0], [], [1, 2], []] and list(known) == [b"a", b"b", b"c"]
