@@ -11,13 +11,17 @@ Every link is checked with both whole sets. Candidates come from two sides:
 Texts with the same set are one node, so exact copies add no pairs, and no bucket emits
 all its pairs. First, in a band's bucket each node meets one pivot, another one in each
 bucket; a node keeps the ``PIVOTS`` likeliest of them, by the share of minimum hashes in
-which both agree (a sketch of a byte each). What these links join is one component from
-then on. Second, in the buckets that still hold several components, each node outside the
-bucket's largest component is compared with all others by the sketches, in numpy, and
-the ``LIKELIEST`` of each other component are candidates. A pair at 0.8 is below the
-least agreement asked for with a probability of about 1e-5. Buckets are cut into blocks of
-``BLOCK`` nodes, so that no task holds more, and a large group of copies, which is one
-component by then, is read once for each block of the others.
+which both agree (a sketch of a byte each), and the second step has the others. What these
+links join is one component from then on. Second, in the buckets that still hold several
+components, each node outside the bucket's largest component is compared with all others by
+the sketches, in numpy, and the ``LIKELIEST`` of each other component are checked. A bucket
+in which some were left over is compared again with what is linked by then, and ``GROWTH``
+times as many are checked, until none is left over: in the end every candidate of two
+components has been checked. A pair at 0.8 is below the least agreement asked for with a
+probability of about 1e-5. Nodes of one fingerprint, and of two linked ones, are buckets
+like those of bands. Buckets are cut into blocks of ``BLOCK`` nodes, so that no task holds
+more, and a large group of copies, which is one component by then, is read once for each
+block of the others.
 
 Defined cases: null and empty texts have the same empty set, and are copies of each
 other; a shorter text is one shingle; repeated rows are copies; a null id is last when
@@ -47,7 +51,8 @@ BANDS, ROWS = 32, 5
 CHUNK = 2048
 #: Of BANDS * ROWS minimum hashes, as many as have to agree in a candidate.
 AGREE = round(0.66 * BANDS * ROWS)
-PIVOTS, LIKELIEST = 4, 3
+#: Of a node's pivots, and of another component's candidates, as many are checked first; the others come in later rounds.
+PIVOTS, LIKELIEST, GROWTH = 4, 3, 4
 BLOCK = 8192
 #: Nodes whose texts are looked up by a broadcast; more are joined.
 SENT = 1 << 20
@@ -138,8 +143,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BANDS * ROWS)
 
 
-def likely(asking: np.ndarray, ask_root: np.ndarray, others: np.ndarray, other_root: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(place asking, place among others) of the LIKELIEST of each other component, by the sketches."""
+def likely(asking: np.ndarray, ask_root: np.ndarray, others: np.ndarray, other_root: np.ndarray, most: int) -> Iterator[tuple[int, int, bool]]:
+    """(place asking, place among others, whether some are left over) of the ``most`` likeliest of each other component, by the sketches."""
     step = max(1, (1 << 25) // max(1, others.size))
     for at in range(0, len(asking), step):
         agree = (asking[at : at + step, None, :] == others[None, :, :]).sum(axis=2, dtype=np.int32)
@@ -151,13 +156,17 @@ def likely(asking: np.ndarray, ask_root: np.ndarray, others: np.ndarray, other_r
             new = np.ones(len(i), bool)
             new[1:] = (i[1:] != i[:-1]) | (other_root[j[1:]] != other_root[j[:-1]])
             first = np.flatnonzero(new)
-            rank = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
-            for x, y in zip((i[rank < LIKELIEST] + at).tolist(), j[rank < LIKELIEST].tolist()):
-                yield x, y
+            n = np.diff(np.append(first, len(i)))
+            rank, over = np.arange(len(i)) - np.repeat(first, n), np.repeat(n, n) > most
+            taken = rank < most
+            yield from zip((i[taken] + at).tolist(), j[taken].tolist(), over[taken].tolist())
 
 
-def _across(met: DataFrame, nodes: DataFrame, roots: DataFrame, block: int) -> DataFrame:
-    """Likely pairs (a, b) of nodes of one bucket and different components; from (band, key)."""
+def _across(met: DataFrame, nodes: DataFrame, roots: DataFrame, block: int, most: int) -> DataFrame:
+    """Likely pairs (band, a, b, over) of nodes of one bucket and different components; from (band, key).
+
+    ``over`` says that a node has more than ``most`` candidates in the other component.
+    """
     held = materialise(met.join(roots, met["key"] == roots["node"], "left").select("band", "key", F.coalesce("root", "key").alias("root")), "held")
     by_root = held.groupBy("band", "root").agg(F.count("*").alias("n"))
     buckets = by_root.groupBy("band").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most")).where("n > most")
@@ -175,13 +184,16 @@ def _across(met: DataFrame, nodes: DataFrame, roots: DataFrame, block: int) -> D
 
         def found(rows: pa.RecordBatch, edges: np.ndarray) -> pa.RecordBatch:
             side, key, root, sketches = rows.column(3).to_numpy(), rows.column(4).to_numpy(), rows.column(5).to_numpy(), _matrix(rows.column(6))
-            a, b = [], []
+            band = rows.column(0).to_numpy()
+            bands, a, b, over = [], [], [], []
             for lo, hi in zip(edges.tolist(), edges[1:].tolist()):
                 split = lo + int((side[lo:hi] == 0).sum())
-                for x, y in likely(sketches[lo:split], root[lo:split], sketches[split:hi], root[split:hi]):
+                for x, y, more in likely(sketches[lo:split], root[lo:split], sketches[split:hi], root[split:hi], most):
+                    bands.append(band[lo])
                     a.append(key[lo + x])
                     b.append(key[split + y])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    over.append(more)
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (bands, a, b)), pa.array(over, pa.bool_())], names=["band", "a", "b", "over"])
 
         for batch in batches:
             rest.append(batch)
@@ -198,7 +210,19 @@ def _across(met: DataFrame, nodes: DataFrame, roots: DataFrame, block: int) -> D
             yield found(rows, np.array([0, rows.num_rows]))
 
     dealt = asking.unionAll(others).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "side")
-    return dealt.mapInArrow(run, "a long, b long").select(*_pairs(F.col("a"), F.col("b"))).distinct()
+    return dealt.mapInArrow(run, "band long, a long, b long, over boolean").select("band", *_pairs(F.col("a"), F.col("b")), "over")
+
+
+def _by_print(nodes: DataFrame, linked: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, key) of nodes of one fingerprint, or of two linked ones, that are more than those already compared and of several components."""
+    rooted = nodes.join(roots, nodes["key"] == roots["node"], "left").select("fp", "key", F.coalesce("root", "key").alias("root"))
+    of_print = rooted.groupBy("fp").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    of_print = materialise(of_print, "prints")
+    same = of_print.where("n > 2 and lo <> hi").select("fp", F.xxhash64("fp").alias("band"))
+    one, two = (of_print.select(*(F.col(c).alias(f"{x}_{c}" if c != "fp" else x) for c in of_print.columns)) for x in "ab")
+    several = linked.join(one, "a").join(two, "b").where("a_n + b_n > 2 and greatest(a_hi, b_hi) <> least(a_lo, b_lo)")
+    several = several.select(F.explode(F.array("a", "b")).alias("fp"), F.xxhash64("a", "b").alias("band"))
+    return nodes.select("fp", "key").join(same.unionAll(several), "fp").select("band", "key")
 
 
 def links(rows: DataFrame, firsts: DataFrame, width: int, similarity: float, max_bits: int, block: int = BLOCK) -> DataFrame:
@@ -216,16 +240,24 @@ def links(rows: DataFrame, firsts: DataFrame, width: int, similarity: float, max
     # by SimHash: a node of each fingerprint stands for it, the others of one fingerprint meet it
     least = materialise(nodes.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n")), "least")
     same = _met(nodes.select("fp", "key"), least, "fp", "n").where("key <> least").select(*_pairs(F.col("key"), F.col("least")))
-    linked = simhash.links(least.select("fp"), max_bits)
+    linked = materialise(simhash.links(least.select("fp"), max_bits), "linked")
     one, two = (least.select(F.col("fp").alias(x), F.col("least").alias(f"{x}_key")) for x in "ab")
-    linked = linked.join(one, "a").join(two, "b").select(*_pairs(F.col("a_key"), F.col("b_key")))
-    close = _sketched(same.unionAll(linked), nodes).select("a", "b")
+    least_linked = linked.join(one, "a").join(two, "b").select(*_pairs(F.col("a_key"), F.col("b_key")))
+    close = _sketched(same.unionAll(least_linked), nodes).select("a", "b")
     pairs = materialise(near.unionAll(close).distinct(), "pairs")
     found = _checked(pairs, _texts(rows, firsts, pairs), width, similarity)
 
     roots = materialise(components(found, "a", "b"), "roots")
-    more = materialise(_across(met.select("band", "key"), nodes, roots, block).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    return found.unionAll(_checked(more, _texts(rows, firsts, more), width, similarity))
+    met, most = met.select("band", "key").unionAll(_by_print(nodes, linked, roots)), LIKELIEST
+    while True:
+        likeliest = materialise(_across(met, nodes, roots, block, most), "likeliest")
+        more = materialise(likeliest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        found = found.unionAll(_checked(more, _texts(rows, firsts, more), width, similarity))
+        over = likeliest.where("over").select("band").distinct()
+        if over.isEmpty():
+            return found
+        met, pairs, most = materialise(met.join(over, "band", "left_semi"), "met"), pairs.unionAll(more), most * GROWTH
+        roots = materialise(components(found, "a", "b"), "roots")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:

@@ -6,6 +6,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline as P  # noqa: E402
+from pagewright.llm import nearcopies as N  # noqa: E402
 
 from test_simhash import groups  # noqa: E402
 
@@ -42,3 +43,27 @@ def test_stage_on_the_smallest_tables(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert sorted(r.doc_id for r in P.near_dedup(spark, docs, small).collect()) == kept(rows)
+
+
+def test_a_link_behind_many_likelier_pairs(spark):
+    """Of 200 texts of one group a longer one is linked with a single one; the sketches take many others for nearer."""
+    rng = random.Random(8)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    shared = own(164)
+    texts = [shared + own(10), *(shared + own(11) for _ in range(200)), shared + own(30)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    assert kept(rows) == [0] and kept(rows[1:]) == [1, 201]
+    assert [r.doc_id for r in P.near_dedup(spark, docs, "").collect()] == [0]
+
+
+def test_copies_that_meet_by_a_fingerprint_only(spark):
+    """Neither the node that stands for a fingerprint nor the bands are needed to find a link."""
+    texts = {1: "a b c d e f", 2: "k l m n o p", 3: "K l m n o p", 4: "q r s t u v", 5: "k L m n o p"}
+    prints = {1: 8, 2: 8, 3: 8, 4: 9, 5: 9}
+    sketch = {k: N.sketch(N.minima(N.hashes(t, 5))) for k, t in texts.items()}
+    rows = spark.createDataFrame(
+        [(k, t, k, prints[k], sketch[k], []) for k, t in texts.items()], "row long, text string, key long, fp long, sketch binary, bands array<long>"
+    )
+    found = N.links(rows, rows.select("key", "row"), 5, 0.8, 2)
+    assert groups(list(texts), [(r.a, r.b) for r in found.collect()]) == {1: 1, 2: 2, 3: 2, 4: 4, 5: 2}
