@@ -17,7 +17,8 @@ components, each node outside the bucket's largest component is compared with al
 the sketches, in numpy, and the ``LIKELIEST`` of each other component are checked. A bucket
 in which some were left over is compared again with what is linked by then, and ``GROWTH``
 times as many are checked, until none is left over: in the end every candidate of two
-components has been checked. A pair at 0.8 is below the least agreement asked for with a
+components has been checked. Pairs whose sets can't be as similar, by ``MARKS`` bits of each
+and their sizes, are none: that bound is exact, and most near misses fail it. A pair at 0.8 is below the least agreement asked for with a
 probability of about 1e-5. Nodes of one fingerprint, and of two linked ones, are buckets
 like those of bands. Buckets are cut into blocks of ``BLOCK`` nodes, so that no task holds
 more, and a large group of copies, which is one component by then, is read once for each
@@ -52,8 +53,10 @@ CHUNK = 2048
 #: Of BANDS * ROWS minimum hashes, as many as have to agree in a candidate.
 AGREE = round(0.66 * BANDS * ROWS)
 #: Of a node's pivots, and of another component's candidates, as many are checked first; the others come in later rounds.
-PIVOTS, LIKELIEST, GROWTH = 4, 3, 4
+PIVOTS, LIKELIEST, GROWTH = 4, 3, 16
 BLOCK = 8192
+#: Bits of a sketch that stand for the set.
+MARKS = 1024
 #: Nodes whose texts are looked up by a broadcast; more are joined.
 SENT = 1 << 20
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 31, (BANDS * ROWS, 1), np.uint32) * np.uint32(2) + np.uint32(1)
@@ -82,9 +85,22 @@ def bands(least: np.ndarray) -> list[int]:
     return [simhash.signed(xxhash.xxh64_intdigest(r.tobytes(), b)) for b, r in enumerate(least.reshape(BANDS, ROWS))]
 
 
-def sketch(least: np.ndarray) -> bytes:
-    """A byte of each minimum hash, from the middle, where the factors have mixed the bits."""
-    return (least >> np.uint32(12)).astype(np.uint8).tobytes()
+def sketch(least: np.ndarray, found: np.ndarray) -> bytes:
+    """A byte of each minimum hash, from the middle, where the factors have mixed the bits; the set as MARKS bits; its size."""
+    marks = np.zeros(MARKS, bool)
+    marks[(found % np.uint64(MARKS)).astype(np.int64)] = True
+    return (least >> np.uint32(12)).astype(np.uint8).tobytes() + np.packbits(marks).tobytes() + np.int64(len(found)).tobytes()
+
+
+def possible(one: np.ndarray, two: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sets of two sketches, row by row, can be as similar as asked for.
+
+    Each bit that one set has and the other hasn't is a shingle that isn't in both, at least.
+    """
+    p, q = (np.ascontiguousarray(x[:, BANDS * ROWS : -8]).view(np.uint64) for x in (one, two))
+    m, n = (np.ascontiguousarray(x[:, -8:]).view(np.int64)[:, 0] for x in (one, two))
+    both = np.minimum(m - np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int64), n - np.bitwise_count(q & ~p).sum(axis=1, dtype=np.int64))
+    return both >= similarity * (m + n - both) - 1e-9
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -123,15 +139,15 @@ def _pairs(a, b):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def _sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) with the number of minimum hashes in which they agree, if it is AGREE or more."""
+def _sketched(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) with the number of minimum hashes in which they agree, if it is AGREE or more and the similarity possible."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 one, two = (_matrix(b.column(k)) for k in (2, 3))
-                agree = (one == two).sum(axis=1)
-                keep = pa.array(agree >= AGREE)
+                agree = (one[:, : BANDS * ROWS] == two[:, : BANDS * ROWS]).sum(axis=1)
+                keep = pa.array((agree >= AGREE) & possible(one, two, similarity))
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(agree.astype(np.int32)).filter(keep)], names=["a", "b", "agree"])
 
     first, second = (nodes.select(F.col("key").alias(x), F.col("sketch").alias(f"{x}_sketch")) for x in "ab")
@@ -140,16 +156,20 @@ def _sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BANDS * ROWS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BANDS * ROWS + MARKS // 8 + 8)
 
 
-def likely(asking: np.ndarray, ask_root: np.ndarray, others: np.ndarray, other_root: np.ndarray, most: int) -> Iterator[tuple[int, int, bool]]:
+def likely(asking: np.ndarray, ask_root: np.ndarray, others: np.ndarray, other_root: np.ndarray, most: int, similarity: float) -> Iterator[tuple[int, int, bool]]:
     """(place asking, place among others, whether some are left over) of the ``most`` likeliest of each other component, by the sketches."""
-    step = max(1, (1 << 25) // max(1, others.size))
+    hashed = BANDS * ROWS
+    step = max(1, (1 << 25) // max(1, len(others) * hashed))
     for at in range(0, len(asking), step):
-        agree = (asking[at : at + step, None, :] == others[None, :, :]).sum(axis=2, dtype=np.int32)
+        agree = (asking[at : at + step, None, :hashed] == others[None, :, :hashed]).sum(axis=2, dtype=np.int32)
         agree[ask_root[at : at + step, None] == other_root[None, :]] = 0
         i, j = np.nonzero(agree >= AGREE)
+        if len(i):
+            able = np.concatenate([possible(asking[at + i[k : k + CHUNK]], others[j[k : k + CHUNK]], similarity) for k in range(0, len(i), CHUNK)])
+            i, j = i[able], j[able]
         if len(i):
             order = np.lexsort((j, -agree[i, j], other_root[j], i))
             i, j = i[order], j[order]
@@ -162,7 +182,7 @@ def likely(asking: np.ndarray, ask_root: np.ndarray, others: np.ndarray, other_r
             yield from zip((i[taken] + at).tolist(), j[taken].tolist(), over[taken].tolist())
 
 
-def _across(met: DataFrame, nodes: DataFrame, roots: DataFrame, block: int, most: int) -> DataFrame:
+def _across(met: DataFrame, nodes: DataFrame, roots: DataFrame, block: int, most: int, similarity: float) -> DataFrame:
     """Likely pairs (band, a, b, over) of nodes of one bucket and different components; from (band, key).
 
     ``over`` says that a node has more than ``most`` candidates in the other component.
@@ -188,7 +208,7 @@ def _across(met: DataFrame, nodes: DataFrame, roots: DataFrame, block: int, most
             bands, a, b, over = [], [], [], []
             for lo, hi in zip(edges.tolist(), edges[1:].tolist()):
                 split = lo + int((side[lo:hi] == 0).sum())
-                for x, y, more in likely(sketches[lo:split], root[lo:split], sketches[split:hi], root[split:hi], most):
+                for x, y, more in likely(sketches[lo:split], root[lo:split], sketches[split:hi], root[split:hi], most, similarity):
                     bands.append(band[lo])
                     a.append(key[lo + x])
                     b.append(key[split + y])
@@ -235,7 +255,7 @@ def links(rows: DataFrame, firsts: DataFrame, width: int, similarity: float, max
     met = materialise(_met(met, pivot, "band", "n"), "met")
     by_pivot = met.where("key <> pivot").select("key", "pivot").distinct()
     likeliest = F.row_number().over(W.partitionBy("a").orderBy(F.col("agree").desc(), "b"))
-    near = _sketched(by_pivot.select(F.col("key").alias("a"), F.col("pivot").alias("b")), nodes)
+    near = _sketched(by_pivot.select(F.col("key").alias("a"), F.col("pivot").alias("b")), nodes, similarity)
     near = near.withColumn("place", likeliest).where(F.col("place") <= PIVOTS).select(*_pairs(F.col("a"), F.col("b")))
     # by SimHash: a node of each fingerprint stands for it, the others of one fingerprint meet it
     least = materialise(nodes.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n")), "least")
@@ -243,21 +263,24 @@ def links(rows: DataFrame, firsts: DataFrame, width: int, similarity: float, max
     linked = materialise(simhash.links(least.select("fp"), max_bits), "linked")
     one, two = (least.select(F.col("fp").alias(x), F.col("least").alias(f"{x}_key")) for x in "ab")
     least_linked = linked.join(one, "a").join(two, "b").select(*_pairs(F.col("a_key"), F.col("b_key")))
-    close = _sketched(same.unionAll(least_linked), nodes).select("a", "b")
+    close = _sketched(same.unionAll(least_linked), nodes, similarity).select("a", "b")
     pairs = materialise(near.unionAll(close).distinct(), "pairs")
     found = _checked(pairs, _texts(rows, firsts, pairs), width, similarity)
 
     roots = materialise(components(found, "a", "b"), "roots")
+    star = lambda: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     met, most = met.select("band", "key").unionAll(_by_print(nodes, linked, roots)), LIKELIEST
     while True:
-        likeliest = materialise(_across(met, nodes, roots, block, most), "likeliest")
+        likeliest = materialise(_across(met, nodes, roots, block, most, similarity), "likeliest")
         more = materialise(likeliest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-        found = found.unionAll(_checked(more, _texts(rows, firsts, more), width, similarity))
+        new = None if more.isEmpty() else _checked(more, _texts(rows, firsts, more), width, similarity)
+        found = star() if new is None else star().unionAll(new)
         over = likeliest.where("over").select("band").distinct()
         if over.isEmpty():
             return found
         met, pairs, most = materialise(met.join(over, "band", "left_semi"), "met"), pairs.unionAll(more), most * GROWTH
-        roots = materialise(components(found, "a", "b"), "roots")
+        if new is not None and not new.isEmpty():
+            roots = materialise(components(found, "a", "b"), "roots")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
@@ -279,7 +302,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 found = np.unique(found)
                 keys.append(simhash.signed(xxhash.xxh64_intdigest(found.tobytes())))
                 least = minima(found)
-                sketches.append(sketch(least))
+                sketches.append(sketch(least, found))
                 held.append(bands(least))
             columns = [*b.columns, pa.array(range(row, row + b.num_rows), pa.int64()), pa.array(keys, pa.int64()), pa.array(prints, pa.int64()), pa.array(sketches, pa.binary()), pa.array(held, arrow.field("bands").type)]
             row += b.num_rows

@@ -4,6 +4,8 @@ import random
 import sys
 from pathlib import Path
 
+import numpy as np
+
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline as P  # noqa: E402
 from pagewright.llm import nearcopies as N  # noqa: E402
@@ -61,9 +63,25 @@ def test_copies_that_meet_by_a_fingerprint_only(spark):
     """Neither the node that stands for a fingerprint nor the bands are needed to find a link."""
     texts = {1: "a b c d e f", 2: "k l m n o p", 3: "K l m n o p", 4: "q r s t u v", 5: "k L m n o p"}
     prints = {1: 8, 2: 8, 3: 8, 4: 9, 5: 9}
-    sketch = {k: N.sketch(N.minima(N.hashes(t, 5))) for k, t in texts.items()}
+    sketch = {k: N.sketch(N.minima(N.hashes(t, 5)), N.hashes(t, 5)) for k, t in texts.items()}
     rows = spark.createDataFrame(
         [(k, t, k, prints[k], sketch[k], []) for k, t in texts.items()], "row long, text string, key long, fp long, sketch binary, bands array<long>"
     )
     found = N.links(rows, rows.select("key", "row"), 5, 0.8, 2)
     assert groups(list(texts), [(r.a, r.b) for r in found.collect()]) == {1: 1, 2: 2, 3: 2, 4: 4, 5: 2}
+
+
+def test_the_bound_of_a_sketch_loses_no_link():
+    rng = np.random.default_rng(4)
+    one, two, alike = [], [], []
+    for n in range(1, 4001, 40):
+        shared, left = rng.integers(0, 1 << 63, n, np.uint64), rng.integers(0, n // 4 + 1)
+        for own in (left, n // 2):  # linked, and half as similar
+            a = np.concatenate([shared, rng.integers(0, 1 << 63, own, np.uint64)])
+            b = np.concatenate([shared, rng.integers(0, 1 << 63, n // 4 - left, np.uint64)])
+            for sets, x in ((one, a), (two, b)):
+                sets.append(np.frombuffer(N.sketch(N.minima(x), np.unique(x)), np.uint8))
+            alike.append(n * 10 >= 8 * (len(a) + len(b) - n))
+    got = N.possible(np.stack(one), np.stack(two), 0.8)
+    assert got[alike].all() and got.sum() < len(got) * 0.9
+    assert N.possible(*[np.frombuffer(N.sketch(N.minima(x), x), np.uint8)[None] for x in [np.zeros(0, np.uint64)] * 2], 0.8).all()
