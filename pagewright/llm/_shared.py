@@ -6,7 +6,7 @@ import ctypes
 import re
 import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 OWN_CHECKPOINTS = "/tmp/checkpoints"
 #: Rows of one key from which on the key is hot: there are at most rows / HOT such keys.
 HOT = 1_000_000
+#: Rows of whole texts that go to a Python worker at once; Spark's own 10,000 are held by the JVM, outside its heap, and by the worker.
+TEXTS = 1000
 _open: list[list[str]] = []
 
 
@@ -36,18 +38,32 @@ def _file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def materialise(df: DataFrame, name: str, keep: bool = False, **options: str) -> DataFrame:
+@contextmanager
+def _batches(spark: SparkSession, rows: int):
+    """Within it, Python workers get at most so many rows at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows if int(before) <= 0 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False, texts: bool = False, **options: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     The result has no lineage: a lost executor costs only the tasks that were
     running on it, and a table that is read twice is computed once. What a session
     has written goes when the driver ends, or with the ``scratch`` it was written in,
-    unless ``keep`` is set. ``options`` are those of the writer.
+    unless ``keep`` is set. With ``texts``, Python workers get at most ``TEXTS`` rows
+    at once. ``options`` are those of the writer.
     """
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    with _batches(spark, TEXTS) if texts else nullcontext():
+        df.write.options(**options).parquet(path)
     system, at = _file_system(spark, folder)
     system.deleteOnExit(at)
     if _open and not keep:

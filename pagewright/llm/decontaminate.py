@@ -277,7 +277,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield arrow_rows([(shard, ids, *_shard(known, texts))], arrow)
 
     rows = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
-    return materialise(rows.mapInArrow(run, out), "postings", **_WRITTEN)
+    return materialise(rows.mapInArrow(run, out), "postings", texts=True, **_WRITTEN)
 
 
 def search_index(index: DataFrame, items: DataFrame, item_col: str = "item_id", item_text: str = "text", size: int = 10, slack: int = 2, misses: int = 1, block: int = 1_000_000) -> DataFrame:

@@ -123,7 +123,7 @@ def _checked(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
 
     first, second = texts.select(F.col("key").alias("a"), F.col("text").alias("one")), texts.select(F.col("key").alias("b"), F.col("text").alias("two"))
     both = pairs.join(second, "b").join(first, "a").select("a", "b", "one", "two")
-    return materialise(both.mapInArrow(run, "a long, b long"), "checked")
+    return materialise(both.mapInArrow(run, "a long, b long"), "checked", texts=True)
 
 
 def _texts(rows: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -308,7 +308,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             row += b.num_rows
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    rows = materialise(docs.select(F.struct(*(named(c) for c in docs.columns if c != text_col)).alias("doc"), named(text_col).alias("text")).mapInArrow(run, out), "printed")
+    rows = materialise(docs.select(F.struct(*(named(c) for c in docs.columns if c != text_col)).alias("doc"), named(text_col).alias("text")).mapInArrow(run, out), "printed", texts=True)
     ids = rows.select(F.col("doc").getField(id_col).alias("id"), "row", "key")
     firsts = materialise(ids.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")).select("key", "first", "first.row"), "firsts")
     roots = components(links(rows, firsts, width, similarity, max_bits), "a", "b")

@@ -3,7 +3,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pagewright.llm import _shared as S
 from pagewright.llm import decontaminate as D
 
 
@@ -129,3 +131,13 @@ def test_a_shard_holds_a_word_once():
     known = decontaminate._Numbers()
     texts = [known.of(t) for t in ("a b a", None, "B c", "")]
     assert [t.tolist() for t in texts] == [[0, 1, 0], [], [1, 2], []] and list(known) == [b"a", b"b", b"c"]
+
+
+def test_few_texts_at_once(spark):
+    """The index is built from at most TEXTS rows at a time, and the session's own number holds again afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    rows = spark.range(2500, numPartitions=1).mapInArrow(sizes, "n long")
+    assert sorted(r.n for r in S.materialise(rows, "sizes", texts=True).collect()) == [500, S.TEXTS, S.TEXTS]
+    assert spark.conf.get(key) == before
