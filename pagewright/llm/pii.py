@@ -166,7 +166,7 @@ def entities(docs: DataFrame, text_col: str, reach: int) -> DataFrame:
         return each
 
     texts = docs.select(F.md5(named(text_col)).alias("key"), named(text_col).alias("text")).where("text is not null")
-    return materialise(map_rows(texts, "key string, entity string, place long, terms array<struct<term string, s int, e int>>", near), "near")
+    return materialise(map_rows(texts, "key string, entity string, place long, terms array<struct<term string, s int, e int>>", near), "near", texts=True)
 
 
 def disclosing_terms(docs: DataFrame, text_col: str = "text", reach: int = 8, threshold: float = 0.8, odds: float = 0.5, prior: float = 1.0, near: DataFrame | None = None) -> DataFrame:
@@ -176,7 +176,7 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", reach: int = 8, th
     surroundings, ``n`` all in the corpus.
     """
     near = entities(docs, text_col, reach) if near is None else near
-    counts = materialise(word_counts(docs, text_col), "words")
+    counts = materialise(word_counts(docs, text_col), "words", texts=True)
     total = counts.agg(F.sum("n")).first()[0] or 0
     # equal surroundings of an entity are one place
     placed = near.groupBy("entity", "place").agg(F.first(F.transform("terms", lambda x: x["term"])).alias("terms"), F.count("*").alias("copies"))
